@@ -13,7 +13,7 @@
    least hash, so buckets of one group name the same pivots and pairs are few after distinct.
 4. A pair is compared on whole texts: sum of minima over sum of maxima of shingle counts.
 
-128 slots in 32 bands of 4 miss a pair of similarity 0.8 with probability 5e-8.
+150 slots in 30 bands of 5 miss a pair of similarity 0.8 with probability 7e-6.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.bagminhash import bands, signatures
 from millrace.llm.common import written
-from millrace.llm.components import components
+from millrace.llm.components import relabelled
 from millrace.llm.textbytes import U64, bags, blocks, mix, shingles
 
 _SEND_ROWS = 1_000_000  # a broadcast of so many ids at most (16 MB)
-_PIVOTS = 6  # of a bucket in later rounds
+_PIVOTS = 6  # of a large bucket in later rounds
+_SMALL = 48  # a bucket of so few unconnected classes is compared whole in later rounds
 
 _SIGNED = pa.schema([("bag_a", pa.int64()), ("bag_b", pa.int64()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -109,7 +110,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def near_dedup(
-    docs: DataFrame, least: float = 0.8, size: int = 5, slots: int = 128, band_rows: int = 4, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, least: float = 0.8, size: int = 5, slots: int = 150, band_rows: int = 5, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept.
 
@@ -130,16 +131,18 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
     return found.where("rid = keep").select("__row.*")
 
 
-def _classes(docs, least=0.8, size=5, slots=128, band_rows=4, text="text", key="doc_id", carry=None) -> DataFrame:
+def _classes(docs, least=0.8, size=5, slots=150, band_rows=5, text="text", key="doc_id", carry=None) -> DataFrame:
     rows = signed(docs, size, slots, band_rows, text, key)
     base = written(rows.withColumn("rid", F.monotonically_increasing_id()))
     slim = base.select("rid", "id", "bag_a", "bag_b", "weight")
     # least row of each distinct bag; bags without words stay apart
     bag = base.where("weight > 0").groupBy("bag_a", "bag_b").agg(F.min("rid").alias("node"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     classes = written(bag)
-    links = _links(classes.select("node", "weight", "bands"), base.select(F.col("rid").alias("node"), "text"), size, least)
-    joined = components(links)
-    of_bag = classes.select("bag_a", "bag_b", "node").join(joined.withColumnRenamed("id", "node"), "node", "left").select("bag_a", "bag_b", F.coalesce("component", "node").alias("component"))
+    label = _links(classes.select("node", "weight", "bands"), base.select(F.col("rid").alias("node"), "text"), size, least)
+    of_bag = classes.select("bag_a", "bag_b", "node", F.col("node").alias("component"))
+    if label is not None:
+        of_bag = of_bag.drop("component").join(label, "node", "left").select("bag_a", "bag_b", F.coalesce("component", "node").alias("component"))
+    of_bag = of_bag.drop("node")
     member = slim.where("weight > 0").join(of_bag, ["bag_a", "bag_b"]).select("rid", "id", "component")
     member = written(member.unionByName(slim.where("weight = 0").select("rid", "id", F.col("rid").alias("component"))))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
@@ -147,31 +150,51 @@ def _classes(docs, least=0.8, size=5, slots=128, band_rows=4, text="text", key="
     return member.join(top.select("component", "class_size", F.col("x.id").alias("class_id"), F.col("x.rid").alias("keep")), "component")
 
 
-def _links(classes: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """(u, v) verified links that connect whatever links between candidates connect."""
-    members = written(_buckets(classes))
-    links: DataFrame | None = None
+def _pairs(now: DataFrame, turn: int, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """(u, v) to compare, and what must be looked at again afterwards (None: nothing)."""
+
+    def fits(a: str, b: str):
+        return F.least(a, b) >= F.greatest(a, b) * F.lit(least)
+
+    if turn == 0:
+        small, large, n = None, now, 1
+    else:
+        size = now.groupBy("band", "hash").agg((F.count("*") <= _SMALL).alias("small"))
+        sized = written(now.join(size, ["band", "hash"]))
+        small, large, n = sized.where("small").drop("small"), sized.where("not small").drop("small"), _PIVOTS
+    heads = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("h"), "node", "component", "weight")).alias(f"p{k}") for k in range(n)]
+    pivots = large.groupBy("band", "hash").agg(*heads).select("band", "hash", F.array(*[f"p{k}" for k in range(n)]).alias("ps"))
+    joined = large.join(pivots, ["band", "hash"])
+    met = joined.select("node", "component", "weight", F.explode("ps").alias("p"))
+    pairs = met.where((F.col("component") != F.col("p.component")) & fits("weight", "p.weight")).select(F.col("node").alias("u"), F.col("p.node").alias("v"))
+    rest = joined.where(~F.exists("ps", lambda p: p["node"] == F.col("node"))).select("band", "hash", "node", "weight")
+    if small is not None:
+        other = small.withColumnsRenamed({"node": "v", "component": "cv", "weight": "wv"})
+        few = small.join(other, ["band", "hash"]).where((F.col("node") < F.col("v")) & (F.col("component") != F.col("cv")) & fits("weight", "wv"))
+        pairs = pairs.unionByName(few.select(F.col("node").alias("u"), "v"))
+        if large.isEmpty():
+            rest = None
+    return pairs.distinct(), rest
+
+
+def _links(classes: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame | None:
+    """(node, component) after all candidates are compared or known to be connected; None without links."""
+    members: DataFrame | None = written(_buckets(classes))
+    label: DataFrame | None = None
     turn = 0
-    while True:
-        if links is None:
-            now = members.withColumn("component", F.col("node"))
-        else:
-            label = components(links).withColumnRenamed("id", "node")
-            now = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    while members is not None:
+        now = members.withColumn("component", F.col("node"))
+        if turn:
+            if label is not None:
+                now = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = now.groupBy("band", "hash").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band", "hash")
             now = written(now.join(mixed, ["band", "hash"]))
-            if now.isEmpty():
-                return links
-        n = 1 if turn == 0 else _PIVOTS
-        heads = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("h"), "node", "component", "weight")).alias(f"p{k}") for k in range(n)]
-        pivots = now.groupBy("band", "hash").agg(*heads).select("band", "hash", F.array_distinct(F.array(*[f"p{k}" for k in range(n)])).alias("ps"))
-        met = now.join(pivots, ["band", "hash"]).select("node", "component", "weight", "ps", F.explode("ps").alias("p"))
-        fits = F.least(F.col("weight"), F.col("p.weight")) >= F.greatest(F.col("weight"), F.col("p.weight")) * F.lit(least)
-        other = (F.col("component") != F.col("p.component")) & fits
-        # a pair of two pivots is met from both sides
-        pairs = met.where(other).select(F.col("node").alias("u"), F.col("p.node").alias("v")).distinct()
+        if now.isEmpty():
+            break
+        pairs, rest = _pairs(now, turn, least)
         new = written(_verify(pairs, texts, size, least))
-        links = new if links is None else links.unionByName(new)
-        rest = now.join(pivots.select("band", "hash", F.transform("ps", lambda p: p["node"]).alias("gone")), ["band", "hash"])
-        members = written(rest.where(~F.array_contains("gone", F.col("node"))).select("band", "hash", "node", "weight"))
+        if not new.isEmpty():
+            label = relabelled(label, new)
+        members = None if rest is None else written(rest)
         turn += 1
+    return label
