@@ -96,7 +96,7 @@ won AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM paid),
 coded AS (
   SELECT *, list_transform(range(8), lambda g: CAST('0x' || substr(hex, CAST(5 * g + 1 AS INTEGER), 5) AS INTEGER)) AS fives FROM won)
 SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (fives[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS INTEGER) , 1)), '') AS payload_digest,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((fives[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) AS INTEGER), 1)), '') AS payload_digest,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM coded
 """

@@ -51,17 +51,17 @@ def _sign(column: pa.Array, size: int, m: int, rows: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(weight), lists], schema=_SIGNED)
 
 
-def signed(docs: DataFrame, size: int, m: int, rows: int, text: str, key: str) -> DataFrame:
-    """(id, text, bag_a, bag_b, weight, bands) by row."""
+def signed(docs: DataFrame, size: int, m: int, rows: int, text: str, key: str, others: list[str]) -> DataFrame:
+    """(id, text, others, bag_a, bag_b, weight, bands) by row; ``others`` is a struct of columns passed through."""
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("none"))
+    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), rest.alias("others"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = _sign(batch.column(1), size, m, rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *made.columns], names=["id", "text", *made.schema.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made.columns], names=["id", "text", "others", *made.schema.names])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, "id long, text string, bag_a long, bag_b long, weight long, bands array<long>"
-    )
+    return slim.mapInArrow(run, f"id long, text string, others {slim.schema['others'].dataType.simpleString()}, bag_a long, bag_b long, weight long, bands array<long>")
 
 
 def _bag(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,20 +119,24 @@ def near_dedup(
     ``size`` words are one shingle.  Null texts and texts without words have no shingles
     and link with nothing.  Repeated rows are members each.  Extra columns are not read.
     """
-    found = _classes(docs, least, size, slots, band_rows, text, key)
+    _, found = _classes(docs, [], text, key, least, size, slots, band_rows)
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", (F.col("rid") == F.col("keep")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.8, size: int = 5, slots: int = 150, band_rows: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class; all columns as they were."""
-    names = [f"`{c}`" for c in docs.columns]
-    whole = docs.select(*names, F.struct(*names).alias("__row"))
-    found = _classes(whole, text=text, key=key, carry="__row", **options)
-    return found.where("rid = keep").select("__row.*")
+    others = [c for c in docs.columns if c != text]
+    base, found = _classes(docs, others, text, key, least, size, slots, band_rows)
+    gone = written(found.where("rid <> keep").select("rid"))
+    # ids only, counted; beyond the bound an ordinary join
+    stay = base.join(F.broadcast(gone) if gone.count() <= _SEND_ROWS else gone, "rid", "left_anti")
+    back = {c: F.col(f"others.c{i}") for i, c in enumerate(others)} | {text: F.col("text")}
+    return stay.select(*[back[c].alias(c) for c in docs.columns])
 
 
-def _classes(docs, least=0.8, size=5, slots=150, band_rows=5, text="text", key="doc_id", carry=None) -> DataFrame:
-    rows = signed(docs, size, slots, band_rows, text, key)
+def _classes(docs, others, text, key, least, size, slots, band_rows) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, written, and (rid, id, component, class_id, class_size, keep)."""
+    rows = signed(docs, size, slots, band_rows, text, key, others)
     base = written(rows.withColumn("rid", F.monotonically_increasing_id()))
     slim = base.select("rid", "id", "bag_a", "bag_b", "weight")
     # least row of each distinct bag; bags without words stay apart
@@ -142,12 +146,11 @@ def _classes(docs, least=0.8, size=5, slots=150, band_rows=5, text="text", key="
     of_bag = classes.select("bag_a", "bag_b", "node", F.col("node").alias("component"))
     if label is not None:
         of_bag = of_bag.drop("component").join(label, "node", "left").select("bag_a", "bag_b", F.coalesce("component", "node").alias("component"))
-    of_bag = of_bag.drop("node")
-    member = slim.where("weight > 0").join(of_bag, ["bag_a", "bag_b"]).select("rid", "id", "component")
+    member = slim.where("weight > 0").join(of_bag.select("bag_a", "bag_b", "component"), ["bag_a", "bag_b"]).select("rid", "id", "component")
     member = written(member.unionByName(slim.where("weight = 0").select("rid", "id", F.col("rid").alias("component"))))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
     top = member.groupBy("component").agg(first.alias("x"), F.count("*").alias("class_size"))
-    return member.join(top.select("component", "class_size", F.col("x.id").alias("class_id"), F.col("x.rid").alias("keep")), "component")
+    return base, member.join(top.select("component", "class_size", F.col("x.id").alias("class_id"), F.col("x.rid").alias("keep")), "component")
 
 
 def _pairs(now: DataFrame, turn: int, least: float) -> tuple[DataFrame, DataFrame | None]:
