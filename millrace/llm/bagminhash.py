@@ -76,10 +76,11 @@ def signatures(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n_rows: i
     return sig.reshape(n_rows, m)
 
 
-def bands(sig: np.ndarray, rows: int) -> np.ndarray:
-    """(n, m / rows) band hashes as signed 64-bit integers."""
-    parts = sig.reshape(len(sig), -1, rows)
-    total = np.zeros(parts.shape[:2], U64)
+def bands(sig: np.ndarray, n: int, rows: int, seed: int = 7) -> np.ndarray:
+    """(len(sig), n) hashes, as signed 64-bit integers, of ``n`` fixed random choices of ``rows`` slots."""
+    rng = np.random.default_rng(seed)
+    chosen = np.array([rng.choice(sig.shape[1], rows, replace=False) for _ in range(n)])
+    total = np.zeros((len(sig), n), U64)
     for k in range(rows):
-        total += mix(parts[:, :, k] + U64(k + 1))
+        total += mix(sig[:, chosen[:, k]] + U64(k + 1))
     return mix(total).astype(np.int64)

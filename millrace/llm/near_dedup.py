@@ -13,7 +13,8 @@
    least hash, so buckets of one group name the same pivots and pairs are few after distinct.
 4. A pair is compared on whole texts: sum of minima over sum of maxima of shingle counts.
 
-150 slots in 30 bands of 5 miss a pair of similarity 0.8 with probability 7e-6.
+Of 128 slots, 64 random choices of 8 are the bands: a pair of similarity 0.8 is missed with
+probability 1e-5, and documents that share a passage of half their length seldom meet.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ from millrace.llm.components import relabelled
 from millrace.llm.textbytes import U64, bags, blocks, mix, shingles
 
 _SEND_ROWS = 1_000_000  # a broadcast of so many ids at most (16 MB)
-_PIVOTS = 6  # of a large bucket in later rounds
-_SMALL = 48  # a bucket of so few unconnected classes is compared whole in later rounds
+_PIVOTS = 16  # of a large bucket in later rounds
+_SMALL = 256  # a bucket of so few unconnected classes is compared whole in later rounds
 
 _SIGNED = pa.schema([("bag_a", pa.int64()), ("bag_b", pa.int64()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sign(column: pa.Array, size: int, m: int, rows: int) -> pa.RecordBatch:
+def _sign(column: pa.Array, size: int, m: int, n_bands: int, rows: int) -> pa.RecordBatch:
     parts = []
     for first, end, data, offsets in blocks(column):
         row, value = shingles(data, offsets, size)
@@ -45,20 +46,20 @@ def _sign(column: pa.Array, size: int, m: int, rows: int) -> pa.RecordBatch:
         for k, s in enumerate(sums):
             np.add.at(s, row, mix(value + U64(k + 1)))
         sig = signatures(*bags(row, value), n, m)
-        parts.append((*(s.astype(np.int64) for s in sums), np.bincount(row, minlength=n), bands(sig, rows)))
-    a, b, weight, band = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros((0, m // rows), np.int64),)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * (m // rows), pa.int32()), pa.array(band.ravel()))
+        parts.append((*(s.astype(np.int64) for s in sums), np.bincount(row, minlength=n), bands(sig, n_bands, rows)))
+    a, b, weight, band = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros((0, n_bands), np.int64),)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * n_bands, pa.int32()), pa.array(band.ravel()))
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(weight), lists], schema=_SIGNED)
 
 
-def signed(docs: DataFrame, size: int, m: int, rows: int, text: str, key: str, others: list[str]) -> DataFrame:
+def signed(docs: DataFrame, size: int, m: int, n_bands: int, rows: int, text: str, key: str, others: list[str]) -> DataFrame:
     """(id, text, others, bag_a, bag_b, weight, bands) by row; ``others`` is a struct of columns passed through."""
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("none"))
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), rest.alias("others"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = _sign(batch.column(1), size, m, rows)
+            made = _sign(batch.column(1), size, m, n_bands, rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, *made.columns], names=["id", "text", "others", *made.schema.names])
 
     return slim.mapInArrow(run, f"id long, text string, others {slim.schema['others'].dataType.simpleString()}, bag_a long, bag_b long, weight long, bands array<long>")
@@ -110,7 +111,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def near_dedup(
-    docs: DataFrame, least: float = 0.8, size: int = 5, slots: int = 150, band_rows: int = 5, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, least: float = 0.8, size: int = 5, slots: int = 128, n_bands: int = 64, band_rows: int = 8, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept.
 
@@ -119,14 +120,14 @@ def near_dedup(
     ``size`` words are one shingle.  Null texts and texts without words have no shingles
     and link with nothing.  Repeated rows are members each.  Extra columns are not read.
     """
-    _, found = _classes(docs, [], text, key, least, size, slots, band_rows)
+    _, found = _classes(docs, [], text, key, least, size, slots, n_bands, band_rows)
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", (F.col("rid") == F.col("keep")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.8, size: int = 5, slots: int = 150, band_rows: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.8, size: int = 5, slots: int = 128, n_bands: int = 64, band_rows: int = 8) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class; all columns as they were."""
     others = [c for c in docs.columns if c != text]
-    base, found = _classes(docs, others, text, key, least, size, slots, band_rows)
+    base, found = _classes(docs, others, text, key, least, size, slots, n_bands, band_rows)
     gone = written(found.where("rid <> keep").select("rid"))
     # ids only, counted; beyond the bound an ordinary join
     stay = base.join(F.broadcast(gone) if gone.count() <= _SEND_ROWS else gone, "rid", "left_anti")
@@ -134,9 +135,9 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", least: fl
     return stay.select(*[back[c].alias(c) for c in docs.columns])
 
 
-def _classes(docs, others, text, key, least, size, slots, band_rows) -> tuple[DataFrame, DataFrame]:
+def _classes(docs, others, text, key, least, size, slots, n_bands, band_rows) -> tuple[DataFrame, DataFrame]:
     """The signed rows, written, and (rid, id, component, class_id, class_size, keep)."""
-    rows = signed(docs, size, slots, band_rows, text, key, others)
+    rows = signed(docs, size, slots, n_bands, band_rows, text, key, others)
     base = written(rows.withColumn("rid", F.monotonically_increasing_id()))
     slim = base.select("rid", "id", "bag_a", "bag_b", "weight")
     # least row of each distinct bag; bags without words stay apart
@@ -191,7 +192,13 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
             if label is not None:
                 now = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = now.groupBy("band", "hash").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band", "hash")
-            now = written(now.join(mixed, ["band", "hash"]))
+            now = now.join(mixed, ["band", "hash"])
+            if turn == 1:  # weights within a factor of ``least`` share one of two neighbouring classes
+                step = F.floor(F.log("weight") / F.lit(float(-np.log(least)))).cast("long")
+                now = now.withColumn("step", F.explode(F.array(step, step + 1))).withColumn("hash", F.xxhash64("hash", "step")).drop("step")
+                mixed = now.groupBy("band", "hash").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band", "hash")
+                now = now.join(mixed, ["band", "hash"])
+            now = written(now)
         if now.isEmpty():
             break
         pairs, rest = _pairs(now, turn, least)
