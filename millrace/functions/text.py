@@ -103,6 +103,7 @@ def _scaled(value: Column, labels: list[str]) -> Column:
 
 
 def fmt_bytes(c: Column) -> Column:
+    """Two decimals and a unit; a half in the third decimal rounds up."""
     return _scaled(c.cast("double"), ["iB", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"])
 
 

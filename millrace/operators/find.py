@@ -71,7 +71,7 @@ def _field(df: DataFrame, name: str, test) -> Column:
         elif op == "$options":
             continue
         elif op == "$elemMatch":
-            p = _sure(F.exists(c, lambda x, v=v: _element(x, v)))
+            p = _sure(F.exists(c, _element_test(v)))
         elif op == "$not":
             p = ~_field(df, name, v)
         elif op == "$within":
@@ -87,6 +87,10 @@ def _field(df: DataFrame, name: str, test) -> Column:
     return out
 
 
+def _element_test(test):
+    return lambda x: _element(x, test)
+
+
 def _element(x: Column, test) -> Column:
     how = {"$lt": "__lt__", "$lte": "__le__", "$gt": "__gt__", "$gte": "__ge__", "$ne": "__ne__"}
     if not isinstance(test, Mapping):

@@ -1,9 +1,399 @@
 """The queries over the engine's own operators, and their SQL equivalents."""
 
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millrace.functions import text as tx, url as ul
+from millrace.operators import find as fd, frontier as fr, index as ix, links as lk, store as st
+from millrace.streaming.crawl import throughput
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lk.exploded(lk.analysed(_t(spark, sf_dir, "pages")))
+
+
+# links and pages
+
+#: SQL: links of the pages as resolved URLs; all hrefs are root-relative.
+_RESOLVED = r"""
+raw AS (
+  SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+resolved AS (
+  SELECT page_id, url AS src, regexp_extract(url, '^[^:]+://[^/?#]*') ||
+    replace(replace(replace(replace(replace(replace(replace(url_encode(href), '%2F', '/'), '%2C', ','), '%3B', ';'), '%3A', ':'), '%40', '@'), '%3D', '='), '%2B', '+') AS dst
+  FROM raw)
+"""
+
+
+@_add("WITH " + _RESOLVED + r" SELECT regexp_extract(dst, '^[^:]+://([^/?#]*)', 1) AS host, count(*) AS n_links FROM resolved GROUP BY 1 ORDER BY n_links DESC, host LIMIT 20")
+def links_by_target_host(spark, sf_dir):
+    hosts = _links(spark, sf_dir).groupBy(ul.url_fast(F.col("dst"))["host"].alias("host")).agg(F.count("*").alias("n_links"))
+    return hosts.orderBy(F.desc("n_links"), "host").limit(20)
+
+
+@_add("WITH " + _RESOLVED + " SELECT dst, count(*) AS n_links FROM resolved GROUP BY dst")
+def link_in_degree(spark, sf_dir):
+    return lk.in_degree(_links(spark, sf_dir))
+
+
+@_add("WITH " + _RESOLVED + " SELECT src, dst FROM resolved")
+def page_links_resolved(spark, sf_dir):
+    return _links(spark, sf_dir).select("src", "dst")
+
+
+@_add(r"SELECT page_id, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') AS title FROM pages")
+def page_title(spark, sf_dir):
+    return lk.analysed(_t(spark, sf_dir, "pages")).select("page_id", F.col("page.title").alias("title"))
+
+
+@_add()
+def page_text(spark, sf_dir):
+    return lk.analysed(_t(spark, sf_dir, "pages")).select("page_id", F.col("page.text").alias("text"), F.col("page.index").alias("index"), F.col("page.follow").alias("follow"))
+
+
+_PARTS = r"""
+SELECT page_id, lower(regexp_extract(url, '^([^:/?#]+):', 1)) AS scheme, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host,
+       regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(\?[^#]*)', 1) AS query, regexp_extract(url, '(#.*)$', 1) AS fragment
+FROM pages
+"""
+
+
+@_add(_PARTS)
+def url_parts(spark, sf_dir):
+    parts = _t(spark, sf_dir, "pages").select("page_id", ul.url_parts("url").alias("u"))
+    return parts.select("page_id", "u.scheme", "u.host", "u.path", "u.query", "u.fragment")
+
+
+@_add(_PARTS)
+def url_parts_fast(spark, sf_dir):
+    parts = _t(spark, sf_dir, "pages").select("page_id", ul.url_fast(F.col("url")).alias("u"))
+    return parts.select("page_id", "u.scheme", "u.host", "u.path", "u.query", "u.fragment")
+
+
+@_add("SELECT page_id, lower(url) AS url FROM pages")
+def url_normalize(spark, sf_dir):
+    shouted = F.concat(F.upper(ul.url_fast(F.col("url"))["scheme"]), F.expr("substring(url, instr(url, ':'))"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.lower(ul.url_normalize(shouted)).alias("url"))
+
+
+@_add("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^http://[^/?#:@]+')")
+def ingest_http_only(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").where(ul.http_only(F.col("url"))).select("page_id", "url")
+
+
+@_add(r"SELECT regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+def host_counts(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").groupBy(ul.url_fast(F.col("url"))["host"].alias("host")).agg(F.count("*").alias("n"))
+
+
+# frontier
+
+_FRONTIER = r"""
+a AS (SELECT page_id AS seq, url, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host FROM pages),
+h AS (SELECT host, row_number() OVER (ORDER BY min(seq)) - 1 AS r FROM a GROUP BY host),
+p AS (SELECT seq, a.host, CAST(CASE WHEN r < 20 THEN r END AS INTEGER) AS queue, CAST(row_number() OVER (PARTITION BY a.host ORDER BY seq) AS INTEGER) AS pos FROM a JOIN h USING (host))
+"""
+
+
+def _frontier(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    return fr.queues(pages.select(F.col("page_id").alias("seq"), "url", ul.url_fast(F.col("url"))["host"].alias("host")), 20)
+
+
+@_add("WITH " + _FRONTIER + " SELECT seq, host, queue, pos FROM p")
+def frontier_queues(spark, sf_dir):
+    return _frontier(spark, sf_dir).select("seq", "host", "queue", "pos")
+
+
+@_add("WITH " + _FRONTIER + " SELECT coalesce(queue, -1) AS queue, count(*) AS urls FROM p GROUP BY 1")
+def frontier_lengths(spark, sf_dir):
+    return fr.lengths(_frontier(spark, sf_dir))
+
+
+@_add("WITH " + _FRONTIER + " SELECT queue, host, seq FROM p WHERE queue IS NOT NULL AND pos = 1")
+def frontier_wave(spark, sf_dir):
+    return fr.wave(_frontier(spark, sf_dir)).select("queue", "host", "seq")
+
+
+@_add("WITH " + _FRONTIER + " SELECT host, count(*) AS urls, CAST(row_number() OVER (ORDER BY host DESC) AS INTEGER) AS turn FROM p WHERE queue IS NULL GROUP BY host")
+def frontier_waiting_order(spark, sf_dir):
+    return fr.waiting_order(_frontier(spark, sf_dir))
+
+
+# store
+
+
+@_add("""
+WITH w AS (SELECT o_custkey AS k, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders)
+SELECT k, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status, arg_max(price, seq) FILTER (WHERE price IS NOT NULL) AS price FROM w GROUP BY k""")
+def upsert_last_non_null(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    writes = o.select(
+        F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price")
+    )
+    return st.upsert(writes, "k", ["seq"])
+
+
+@_add("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+def lookup_left_join(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select("c_custkey")
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return st.lookup(c, o, "c_custkey")
+
+
+@_add("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def new_urls_anti(spark, sf_dir):
+    return st.unseen(_t(spark, sf_dir, "customer").select("c_custkey"), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@_add("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F')")
+def remove_where(spark, sf_dir):
+    return st.remove(_t(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F").select("o_orderkey")
+
+
+@_add("SELECT o_orderkey FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'F')")
+def remove_just_one(spark, sf_dir):
+    return st.remove(_t(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", just_one=True, order=["o_orderkey"]).select("o_orderkey")
+
+
+@_add("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size + 5 ELSE p_size END AS p_size, CASE WHEN p_size > 25 THEN 'big' ELSE p_brand END AS p_brand FROM part")
+def update_inc_set(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    return st.update(p, F.col("p_size") > 25, {"p_brand": F.lit("big"), "p_size": st.inc(F.col("p_size"), 5)}).select("p_partkey", "p_size", "p_brand")
+
+
+@_add("""
+WITH a AS (SELECT vec_id, embedding[1:4] AS v FROM embeddings)
+SELECT vec_id, len(list_append(v, 9.0)) AS pushed, len(list_filter(v, lambda x: x <> v[1])) AS pulled, CAST(v[-1] AS DOUBLE) AS last, len(v[1:len(v)-1]) AS popped FROM a""")
+def update_array_modifiers(spark, sf_dir):
+    a = _t(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
+    v = F.col("v")
+    size = lambda c: F.size(c).cast("long")
+    return a.select(
+        "vec_id", size(st.push(v, 9.0)).alias("pushed"), size(F.filter(v, lambda x: x != F.element_at(v, 1))).alias("pulled"), F.element_at(v, -1).cast("double").alias("last"), size(st.pop_end(v)).alias("popped")
+    )
+
+
+@_add("SELECT p_partkey, (p_size & 12) | 1 AS bits FROM part")
+def update_bit(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", st.bit(F.col("p_size"), and_=12, or_=1).alias("bits"))
+
+
+# find: (name, table, key, query, SQL condition)
+_FINDS = [
+    ("find_eq", "customer", "c_custkey", {"c_mktsegment": "BUILDING"}, "c_mktsegment = 'BUILDING'"),
+    ("find_compare", "customer", "c_custkey", {"c_acctbal": {"$gt": 100.0, "$lte": 5000.0}}, "c_acctbal > 100 AND c_acctbal <= 5000"),
+    ("find_ne", "orders", "o_orderkey", {"o_orderstatus": {"$ne": "F"}}, "o_orderstatus IS DISTINCT FROM 'F'"),
+    ("find_in", "customer", "c_custkey", {"c_nationkey": {"$in": [1, 2, 3]}}, "c_nationkey IN (1, 2, 3)"),
+    ("find_nin", "customer", "c_custkey", {"c_nationkey": {"$nin": [1, 2, 3]}}, "c_nationkey NOT IN (1, 2, 3) OR c_nationkey IS NULL"),
+    ("find_in_regex", "part", "p_partkey", {"p_type": {"$in": [re.compile("^STANDARD"), "PROMO"]}}, "regexp_matches(p_type, '^STANDARD') OR p_type = 'PROMO'"),
+    ("find_size", "embeddings", "vec_id", {"embedding": {"$size": 64}}, "len(embedding) = 64"),
+    ("find_mod", "part", "p_partkey", {"p_partkey": {"$mod": [7, 3]}}, "p_partkey % 7 = 3"),
+    ("find_regex", "part", "p_partkey", {"p_brand": {"$regex": "^Brand#1"}}, "regexp_matches(p_brand, '^Brand#1')"),
+    ("find_regex_options", "part", "p_partkey", {"p_type": {"$regex": "BRASS|steel", "$options": "i"}}, "regexp_matches(p_type, '(?i)BRASS|steel')"),
+    ("find_elem_match", "embeddings", "vec_id", {"embedding": {"$elemMatch": {"$gt": 0.2, "$lt": 0.25}}}, "len(list_filter(embedding, lambda x: x > 0.2 AND x < 0.25)) > 0"),
+    ("find_any_element", "embeddings", "vec_id", {"embedding": {"$gt": 0.35}}, "len(list_filter(embedding, lambda x: x > 0.35)) > 0"),
+    ("find_or", "orders", "o_orderkey", {"$or": [{"o_orderstatus": "F"}, {"o_totalprice": {"$gt": 300000.0}}]}, "o_orderstatus = 'F' OR o_totalprice > 300000"),
+    ("find_nor", "orders", "o_orderkey", {"$nor": [{"o_orderstatus": "F"}, {"o_totalprice": {"$gt": 300000.0}}]}, "NOT (o_orderstatus = 'F' OR o_totalprice > 300000)"),
+    ("find_and_not", "part", "p_partkey", {"$and": [{"p_size": {"$not": {"$gt": 20}}}, {"p_size": {"$gte": 5}}]}, "NOT (p_size > 20) AND p_size >= 5"),
+    ("find_where", "lineitem", "l_orderkey", {"$where": "l_quantity * l_extendedprice > 1000000"}, "l_quantity * l_extendedprice > 1000000"),
+    ("find_exists", "events", "event_id", {"props": {"$exists": True}}, "props IS NOT NULL"),
+]
+
+
+def _find_query(name: str, table: str, key: str, query: dict, where: str) -> None:
+    def run(spark, sf_dir):
+        return fd.find(_t(spark, sf_dir, table), query, {key: 1})
+
+    run.__name__ = name
+    _add(f"SELECT {key} FROM {table} WHERE {where}")(run)
+
+
+for _f in _FINDS:
+    _find_query(*_f)
+
+
+@_add("SELECT vec_id FROM embeddings WHERE list_contains(embedding, (SELECT embedding[1] FROM embeddings WHERE vec_id = 0))")
+def find_all(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    return fd.find(e, {"embedding": {"$all": [e.where("vec_id = 0").select(F.element_at("embedding", 1)).first()[0]]}}, {"vec_id": 1}) if not e.where("vec_id = 0").isEmpty() else e.select("vec_id").limit(0)
+
+
+@_add("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50")
+def find_dotted_path(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k long"))
+    return fd.find(e, {"p.k": {"$gte": 50}}).select("event_id", F.col("p.k").alias("k"))
+
+
+@_add("SELECT vec_id FROM embeddings WHERE sqrt(pow(embedding[1] - 0.1, 2) + pow(embedding[2] - 0.1, 2)) <= 0.1")
+def find_near(spark, sf_dir):
+    return fd.find(_t(spark, sf_dir, "embeddings"), {"embedding": {"$near": [0.1, 0.1], "$maxDistance": 0.1}}, {"vec_id": 1})
+
+
+@_add("SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 10")
+def sort_skip_limit(spark, sf_dir):
+    return fd.find(_t(spark, sf_dir, "customer"), sort=[("c_acctbal", -1), ("c_custkey", 1)], skip=10, limit=25, fields={"c_custkey": 1, "c_name": 1, "c_acctbal": 1})
+
+
+@_add("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 5000")
+def min_max_bounds(spark, sf_dir):
+    return fd.find(_t(spark, sf_dir, "orders"), low={"o_orderkey": 100}, high={"o_orderkey": 5000}, fields={"o_orderkey": 1, "o_totalprice": 1})
+
+
+@_add("SELECT vec_id, round(CAST(list_sum(embedding[3:7]) AS DOUBLE), 3) AS s FROM embeddings")
+def proj_slice(spark, sf_dir):
+    e = fd.find(_t(spark, sf_dir, "embeddings"), fields={"vec_id": 1, "embedding": {"$slice": [2, 5]}})
+    return e.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("s"))
+
+
+@_add("SELECT r_regionkey FROM region")
+def proj_exclude(spark, sf_dir):
+    return fd.find(_t(spark, sf_dir, "region"), fields={"r_name": 0})
+
+
+@_add("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+def count_query(spark, sf_dir):
+    return fd.count(_t(spark, sf_dir, "orders"), {"o_orderstatus": "F"})
+
+
+@_add("SELECT o_custkey AS _id, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY o_custkey")
+def mr_sum(spark, sf_dir):
+    got = fd.map_reduce(_t(spark, sf_dir, "orders"), F.col("o_custkey"), F.col("o_totalprice"), "sum")
+    return got.select("_id", F.round("value", 2).alias("value"))
+
+
+@_add("SELECT l_returnflag AS _id, max(l_quantity) AS value FROM lineitem GROUP BY l_returnflag")
+def mr_max_reduce_into(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    old, new = (fd.map_reduce(li.where(c), F.col("l_returnflag"), F.col("l_quantity"), "max") for c in ("l_orderkey % 2 = 0", "l_orderkey % 2 = 1"))
+    return fd.reduce_into(old, new, "max")
+
+
+@_add("SELECT CAST(CASE WHEN l_quantity <= 10 THEN 0 WHEN l_quantity <= 20 THEN 1 WHEN l_quantity <= 30 THEN 2 ELSE 3 END AS INTEGER) AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
+def histogram_linear(spark, sf_dir):
+    return fd.histogram(_t(spark, sf_dir, "lineitem"), F.col("l_quantity"), 0, 10, 4)
+
+
+@_add("SELECT CAST(CASE WHEN l_quantity <= 5 THEN 0 WHEN l_quantity <= 10 THEN 1 WHEN l_quantity <= 20 THEN 2 WHEN l_quantity <= 40 THEN 3 ELSE 4 END AS INTEGER) AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
+def histogram_exponential(spark, sf_dir):
+    return fd.histogram(_t(spark, sf_dir, "lineitem"), F.col("l_quantity"), 0, 5, 5, exponential=True)
+
+
+# text functions
+
+_FMT = "CASE WHEN {v} <= 1000 THEN printf('%.2f {a}', {v}) WHEN {v} / 1000.0 <= 1000 THEN printf('%.2f {b}', {v} / 1000.0) ELSE printf('%.2f {c}', {v} / 1000000.0) END"
+
+
+@_add("SELECT o_orderkey, " + _FMT.format(v="CAST(o_orderkey * 40 AS DOUBLE)", a="iB", b="KiB", c="MiB") + " AS size FROM orders")
+def fmt_bytes(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", tx.fmt_bytes(F.col("o_orderkey") * 40).alias("size"))
+
+
+@_add("SELECT doc_id, regexp_full_match(text, '[\\x07-\\x0D\\x1B\\x20-\\x7E]*') AS ascii FROM documents")
+def looks_ascii(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.looks_ascii(F.col("text")).alias("ascii"))
+
+
+@_add("SELECT page_id, substr(sha1(url), 1, 2) || '/' || substr(sha1(url), 3, 2) || '/' || substr(sha1(url), 5) AS path FROM pages")
+def shard_path(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", tx.shard_path(F.col("url")).alias("path"))
+
+
+@_add("SELECT page_id, md5(html) AS md5, lower(hex(encode(url))) AS hex FROM pages")
+def digests(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.md5("html").alias("md5"), F.lower(F.hex(F.encode("url", "UTF-8"))).alias("hex"))
+
+
+@_add("SELECT page_id, 'text/html' AS media, CASE WHEN page_id % 2 = 0 THEN 'TEXT_HTML' ELSE 'APPLICATION_PDF' END AS kind, CASE WHEN page_id % 2 = 0 THEN 'utf-8' ELSE '' END AS charset FROM pages")
+def http_headers(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    value = F.when(F.col("page_id") % 2 == 0, F.lit(" text/html; charset=utf-8")).otherwise(F.lit(" application/pdf"))
+    raw = F.concat(F.lit("HTTP/1.1 200 OK\r\nX-Media: text/html\r\nContent-Type:"), value, F.lit("\r\nAge: 5"))
+    h = p.select("page_id", tx.http_headers(raw).alias("h"))
+    return h.select("page_id", F.trim(F.col("h")["X-Media"]).alias("media"), tx.content_type(F.col("h")["Content-Type"]).alias("kind"), tx.charset(F.col("h")["Content-Type"]).alias("charset"))
+
+
+@_add(r"SELECT page_id, NOT starts_with(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/fr/') AS allowed FROM pages")
+def robots_decisions(spark, sf_dir):
+    rules = F.lit("User-agent: millrace\nDisallow: /fr/\n\nUser-agent: *\nDisallow: /\n")
+    return _t(spark, sf_dir, "pages").select("page_id", tx.robots_allowed("millrace")(rules, ul.url_fast(F.col("url"))["path"]).alias("allowed"))
+
+
+# index
+
+_TOKENS = r"toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents), tf AS (SELECT term, doc_id, count(*) AS tf FROM toks WHERE term <> '' GROUP BY ALL)"
+
+
+def _tf(spark, sf_dir):
+    return ix.term_frequency(ix.tokens(_t(spark, sf_dir, "documents")))
+
+
+@_add("WITH " + _TOKENS + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
+def term_df(spark, sf_dir):
+    return ix.document_frequency(_tf(spark, sf_dir))
+
+
+@_add("WITH " + _TOKENS + " SELECT term, count(*) AS n, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
+def postings(spark, sf_dir):
+    p = ix.postings(_tf(spark, sf_dir))
+    return p.groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.aggregate("docs", F.lit(0).cast("long"), lambda a, x: a + x["tf"])).alias("cf"))
+
+
+@_add("WITH " + _TOKENS + " SELECT doc_id FROM tf WHERE term IN ('the', 'and', 'of') GROUP BY doc_id HAVING count(*) = 3")
+def search_and(spark, sf_dir):
+    return ix.search_all(_tf(spark, sf_dir), ["the", "and", "of"])
+
+
+_BM25 = (
+    "WITH " + _TOKENS + r""", q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark),
+len AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id), tot AS (SELECT count(*) AS n, avg(len) AS a FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT query_id, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score
+  FROM tf JOIN q USING (term) JOIN df USING (term) JOIN len ON len.doc_id = tf.doc_id, tot GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM scored) WHERE r <= 5"""
+)
+
+
+@_add(_BM25)
+def bm25_top5(spark, sf_dir):
+    from pyspark.sql import Window
+
+    asked = ix.tokens(_t(spark, sf_dir, "benchmark"), key="item_id").select(F.col("doc_id").alias("query_id"), "term")
+    s = ix.bm25(_tf(spark, sf_dir), asked).withColumn("score", F.round("score", 6))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return s.withColumn("r", F.row_number().over(best)).where("r <= 5").drop("r")
+
+
+# streaming twins
+
+
+@_add("SELECT time_bucket(INTERVAL '5 seconds', ts) AS start, round(sum(value), 4) AS bytes, count(*) AS docs FROM events GROUP BY 1")
+def stream_stats_5s(spark, sf_dir):
+    return throughput(_t(spark, sf_dir, "events")).select(F.col("w.start").alias("start"), F.round("bytes", 4).alias("bytes"), "docs")
