@@ -94,12 +94,13 @@ def _cuts(rows: DataFrame, blocks: DataFrame, per: DataFrame, whole: bool) -> Da
         open_ = written(sums.where("before < left and left <= before + n").select("s", F.col("next").alias("prefix"), (F.col("left") - F.col("before")).alias("left")))
     few = held.join(open_, _same("source", "s") & F.col("place").startswith(F.col("prefix")))
     so_far = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    few = few.groupBy("s", "source", "left", "place", "doc_id").agg(F.sum("size").alias("size"))  # repeated rows share the edge
     few = few.withColumn("before", F.coalesce(F.sum("size").over(so_far), F.lit(0)))
     some = F.col("left") - F.col("before")
     if whole:
         some = F.when(some * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))
     cut = few.where("before < left and left <= before + size").select(
-        "s", F.col("place").alias("cut_place"), F.col("doc_id").alias("cut_id"), some.alias("cut_words")
+        "s", F.col("place").alias("cut_place"), F.col("doc_id").alias("cut_id"), some.alias("cut_words"), F.col("size").alias("cut_total")
     )
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(0).cast("int")
     return per.join(cut, _same("source", "s"), "left").drop("s").withColumn("passes", passes)
@@ -223,13 +224,13 @@ def draw(rows: DataFrame, blocks: DataFrame, seed: int = 0) -> DataFrame:
     """``rows`` (doc_id, source, size, place, ...) with source_size, target, taken and copies.
 
     ``copies`` is an array of (pass, shard, words, order), one for each time that the mix
-    takes the document.  Rows that share id, hash and source share the edge's words.
+    takes the document.  Rows that share id and source share the edge's words in proportion.
     """
     b = blocks.withColumnsRenamed({"source": "s", "block": "b"})
     joined = rows.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.substring("place", 1, _DIGITS) == F.col("b")), "left").drop("s", "b")
     here = F.struct("place", F.coalesce("doc_id", F.lit(-(2**63)))) 
     cut = F.struct(F.col("cut_place").alias("place"), F.coalesce("cut_id", F.lit(-(2**63))))
-    last = F.when(F.col("cut_place").isNull() | (here > cut), 0).when(here < cut, F.col("size")).otherwise(F.least("cut_words", "size"))
+    last = F.when(F.col("cut_place").isNull() | (here > cut), 0).when(here < cut, F.col("size")).otherwise(F.floor(F.col("size") * F.col("cut_words") / F.col("cut_total")))
     copies = F.transform(
         F.coalesce("shards", F.array().cast("array<struct<pass:int,shard:int>>")),
         lambda x: F.struct(
@@ -240,7 +241,7 @@ def draw(rows: DataFrame, blocks: DataFrame, seed: int = 0) -> DataFrame:
     copies = F.filter(copies, lambda x: x["words"] > 0)
     out = joined.withColumn("copies", copies)
     return out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["words"])).drop(
-        "cut_place", "cut_id", "cut_words", "passes", "shards", "idx", "quota", "block"
+        "cut_place", "cut_id", "cut_words", "cut_total", "passes", "shards", "idx", "quota", "block"
     )
 
 
