@@ -4,14 +4,20 @@
    and a 128-bit sum that identifies the bag; the rows, with their texts, are written.
 2. Documents of one bag are one *class* from here on (map-side combined), so thousands of
    copies weigh as one.
-3. Classes that share a band are candidates.  Pairs within a bucket are not emitted.
-   Instead, round by round, each bucket has a pivot, and its members that are not already
-   in the pivot's component are compared with it; then the pivot leaves the bucket.  A
-   bucket whose members are all in one component is finished.  So every pair that shares a
-   bucket is either compared or known to be connected: no link between components is lost,
-   and a large group of near copies costs one comparison a member.  A pivot is the bucket's
-   least hash, so buckets of one group name the same pivots and pairs are few after distinct.
-4. A pair is compared on whole texts: sum of minima over sum of maxima of shingle counts.
+3. Classes that share a band are candidates.  Each bucket has a pivot: its member that
+   meets the most classes over all its buckets, which is the middle of a group of near copies
+   and so links to most of it.  The other members are compared with the pivot; buckets of one
+   group name the same pivot, so pairs are few after distinct.
+4. Buckets whose members are not all in one component then are compared once more, by
+   sketches: 512 slots of 8 bits, made for their members only.  A bucket is dealt in blocks by
+   a hash of the member, and a task holds two blocks at most, whatever the bucket.  Only pairs
+   of unlike components come out whose sketches agree to within four standard deviations of
+   ``least``.  So every pair that shares a bucket is verified, known to be connected, or
+   ruled out by its sketch (a pair of overlap ``least`` with probability 3e-5).
+5. A pair is verified on whole texts: sum of minima over sum of maxima of shingle counts.
+
+The sketches of a bucket whose members are alike without being near copies are compared with
+each other, some 10^6 pairs a second and core; nothing but likely links is emitted.
 
 Of 128 slots, 64 random choices of 8 are the bands: a pair of similarity 0.8 is missed with
 probability 1e-5, and documents that share a passage of half their length seldom meet.
@@ -31,8 +37,9 @@ from millrace.llm.components import relabelled
 from millrace.llm.textbytes import U64, bags, blocks, mix, shingles
 
 _SEND_ROWS = 1_000_000  # a broadcast of so many ids at most (16 MB)
-_PIVOTS = 16  # of a large bucket in later rounds
-_SMALL = 256  # a bucket of so few unconnected classes is compared whole in later rounds
+_SKETCH = 512  # slots of a sketch, a byte each
+_BLOCK_ROWS = 2048  # a block of a bucket, on average at most
+_CACHE_BYTES = 64 << 20  # bags kept while pairs are verified
 
 _SIGNED = pa.schema([("bag_a", pa.int64()), ("bag_b", pa.int64()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -79,35 +86,56 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
 
 
+def _texts_of(nodes: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with the ids in ``nodes``, of which there are ``n`` at most."""
+    # ids only, counted; beyond the bound an ordinary join
+    return texts.join(F.broadcast(nodes) if n <= _SEND_ROWS else nodes, "node", "left_semi")
+
+
+class _Bags:
+    """Bags of texts by id, the last made within a bound of bytes."""
+
+    def __init__(self, size: int):
+        self.size, self.held, self.bytes = size, {}, 0
+
+    def of(self, node: int, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        if node not in self.held:
+            bag = _bag(text.as_py(), self.size)
+            self.held[node] = bag
+            self.bytes += bag[0].nbytes + bag[1].nbytes
+            while self.bytes > _CACHE_BYTES and len(self.held) > 1:
+                old = self.held.pop(next(iter(self.held)))
+                self.bytes -= old[0].nbytes + old[1].nbytes
+            return bag
+        return self.held[node]
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """Those (u, v) of ``pairs`` whose texts overlap enough; ``texts`` is (node, text)."""
-    pairs = written(pairs)
+    """Those (u, v) of the written ``pairs`` whose texts overlap enough; ``texts`` is (node, text)."""
     ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-    n = pairs.count()
-    # ids only, counted; beyond the bound an ordinary join
-    few = texts.join(F.broadcast(ends) if 2 * n <= _SEND_ROWS else ends, "node", "left_semi")
+    few = _texts_of(ends, 2 * pairs.count(), texts)
     one = pairs.join(few.withColumnsRenamed({"node": "u", "text": "text_u"}), "u")
     two = one.join(few.withColumnsRenamed({"node": "v", "text": "text_v"}), "v").select("u", "v", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        bag = _Bags(size)
         for batch in batches:
-            v_ids = batch.column(1).to_pylist()
-            keep = np.zeros(len(v_ids), bool)
-            for i, v in enumerate(v_ids):
-                if v != last[0]:  # rows come sorted by v, the pivot
-                    last = v, _bag(batch.column(3)[i].as_py(), size)
-                keep[i] = overlap(_bag(batch.column(2)[i].as_py(), size), last[1]) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
+            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = pa.array([overlap(bag.of(v[i], batch.column(3)[i]), bag.of(u[i], batch.column(2)[i])) >= least for i in range(len(u))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
     return two.mapInArrow(run, "u long, v long")
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(band, hash, node, weight) in buckets of two classes or more."""
+def _members(classes: DataFrame) -> DataFrame:
+    """(band, hash, node, weight, others, meets) in buckets of two classes or more.
+
+    others: how many share the bucket; meets: their sum over all buckets of the class.
+    """
     rows = classes.select("node", "weight", F.posexplode("bands").alias("band", "hash"))
-    shared = rows.groupBy("band", "hash").count().where("count > 1").drop("count")
-    return rows.join(shared, ["band", "hash"])
+    shared = rows.groupBy("band", "hash").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    held = written(rows.join(shared, ["band", "hash"]))
+    return held.join(held.groupBy("node").agg(F.sum("others").alias("meets")), "node")
 
 
 def near_dedup(
@@ -154,57 +182,110 @@ def _classes(docs, others, text, key, least, size, slots, n_bands, band_rows) ->
     return base, member.join(top.select("component", "class_size", F.col("x.id").alias("class_id"), F.col("x.rid").alias("keep")), "component")
 
 
-def _pairs(now: DataFrame, turn: int, least: float) -> tuple[DataFrame, DataFrame | None]:
-    """(u, v) to compare, and what must be looked at again afterwards (None: nothing)."""
+def _with_pivots(members: DataFrame, least: float) -> DataFrame:
+    """(u, v): each member and its bucket's pivot, where their weights allow a link."""
+    order = F.struct(-F.col("meets"), F.xxhash64("node"), "node")
+    pivot = members.groupBy("band", "hash").agg(F.min(F.struct(order.alias("order"), "node", "weight")).alias("p")).select("band", "hash", "p.node", "p.weight")
+    met = members.join(pivot.withColumnsRenamed({"node": "v", "weight": "wv"}), ["band", "hash"])
+    fits = F.least("weight", "wv") >= F.greatest("weight", "wv") * F.lit(least)
+    return met.where((F.col("node") != F.col("v")) & fits).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
 
-    def fits(a: str, b: str):
-        return F.least(a, b) >= F.greatest(a, b) * F.lit(least)
 
-    if turn == 0:
-        small, large, n = None, now, 1
-    else:
-        size = now.groupBy("band", "hash").agg((F.count("*") <= _SMALL).alias("small"))
-        sized = written(now.join(size, ["band", "hash"]))
-        small, large, n = sized.where("small").drop("small"), sized.where("not small").drop("small"), _PIVOTS
-    heads = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("h"), "node", "component", "weight")).alias(f"p{k}") for k in range(n)]
-    pivots = large.groupBy("band", "hash").agg(*heads).select("band", "hash", F.array(*[f"p{k}" for k in range(n)]).alias("ps"))
-    joined = large.join(pivots, ["band", "hash"])
-    met = joined.select("node", "component", "weight", F.explode("ps").alias("p"))
-    pairs = met.where((F.col("component") != F.col("p.component")) & fits("weight", "p.weight")).select(F.col("node").alias("u"), F.col("p.node").alias("v"))
-    rest = joined.where(~F.exists("ps", lambda p: p["node"] == F.col("node"))).select("band", "hash", "node", "weight")
-    if small is not None:
-        other = small.withColumnsRenamed({"node": "v", "component": "cv", "weight": "wv"})
-        few = small.join(other, ["band", "hash"]).where((F.col("node") < F.col("v")) & (F.col("component") != F.col("cv")) & fits("weight", "wv"))
-        pairs = pairs.unionByName(few.select(F.col("node").alias("u"), "v"))
-        if large.isEmpty():
-            rest = None
-    return pairs.distinct(), rest
+def _sketched(texts: DataFrame, size: int) -> DataFrame:
+    """(node, sketch): a byte of each of the slots of a longer signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for first, end, data, offsets in blocks(batch.column(1)):
+                sig = signatures(*bags(*shingles(data, offsets, size)), end - first, _SKETCH)
+                made += [row.tobytes() for row in mix(sig).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "sketch"])
+
+    return texts.mapInArrow(run, "node long, sketch binary")
+
+
+def _likely(component: np.ndarray, weight: np.ndarray, block: np.ndarray, sketch: np.ndarray, need: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs in one group that may link; with two blocks, only pairs across them."""
+    order = np.argsort(component, kind="stable")
+    comp, w, b, s = component[order], weight[order], block[order], sketch[order]
+    after = np.searchsorted(comp, comp, side="right")  # the first place of a greater component
+    two = b.min() != b.max()
+    left, right = [], []
+    for i in np.flatnonzero(after < len(comp)):
+        j = np.arange(after[i], len(comp))
+        fits = np.minimum(w[j], w[i]) >= np.maximum(w[j], w[i]) * least
+        j = j[fits & (b[j] != b[i])] if two else j[fits]
+        for first, end in ((0, _SKETCH // 4), (0, _SKETCH)):  # a quarter first, with as many spare deviations
+            share = (end - first) / _SKETCH
+            at_least = need if end == _SKETCH else share * _SKETCH * least - 4 * np.sqrt(share * _SKETCH * least * (1 - least)) - 1
+            j = j[np.count_nonzero(s[j, first:end] == s[i, first:end], axis=1) >= at_least] if len(j) else j
+        left.append(np.full(len(j), order[i]))
+        right.append(order[j])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _by_sketch(rows: DataFrame, least: float) -> DataFrame:
+    """(u, v) of unlike components that share a bucket and may link; ``rows`` is (band, hash, node, weight, component, sketch)."""
+    need = int(np.floor(_SKETCH * least - 4 * np.sqrt(_SKETCH * least * (1 - least))))
+    count = rows.groupBy("band", "hash").agg(F.ceil(F.count("*") / _BLOCK_ROWS).alias("n"))
+    own = F.pmod(F.xxhash64("node"), F.col("n")).alias("own")
+    dealt = rows.join(count, ["band", "hash"]).select("*", own)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
+    dealt = dealt.select("*", other).select(
+        F.xxhash64("band", "hash", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "own", "node", "weight", "component", "sketch"
+    )
+    dealt = dealt.repartition("g").sortWithinPartitions("g")
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        g, own, node, weight, component = (t.column(k).to_numpy() for k in range(5))
+        sketch = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(-1, _SKETCH)
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1, [len(g)]))
+        found: set[tuple[int, int]] = set()
+        for a, b in zip(cut[:-1], cut[1:]):
+            i, j = _likely(component[a:b], weight[a:b], own[a:b], sketch[a:b], need, least)
+            x, y = node[a + i], node[a + j]
+            found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+        u, v = zip(*sorted(found)) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # whole groups are handed on; the last may go on in the next batch
+            if not batch.num_rows:
+                continue
+            g = batch.column(0).to_numpy()
+            last = np.flatnonzero(np.diff(g))
+            begin = int(last[-1]) + 1 if len(last) else 0
+            if held and (begin or g[0] != held[0].column(0)[-1].as_py()):
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+                held = []
+            elif begin:
+                yield pairs(pa.Table.from_batches([batch.slice(0, begin)]))
+            held.append(batch.slice(begin))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def _links(classes: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame | None:
     """(node, component) after all candidates are compared or known to be connected; None without links."""
-    members: DataFrame | None = written(_buckets(classes))
-    label: DataFrame | None = None
-    turn = 0
-    while members is not None:
-        now = members.withColumn("component", F.col("node"))
-        if turn:
-            if label is not None:
-                now = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = now.groupBy("band", "hash").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band", "hash")
-            now = now.join(mixed, ["band", "hash"])
-            if turn == 1:  # weights within a factor of ``least`` share one of two neighbouring classes
-                step = F.floor(F.log("weight") / F.lit(float(-np.log(least)))).cast("long")
-                now = now.withColumn("step", F.explode(F.array(step, step + 1))).withColumn("hash", F.xxhash64("hash", "step")).drop("step")
-                mixed = now.groupBy("band", "hash").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band", "hash")
-                now = now.join(mixed, ["band", "hash"])
-            now = written(now)
-        if now.isEmpty():
-            break
-        pairs, rest = _pairs(now, turn, least)
-        new = written(_verify(pairs, texts, size, least))
-        if not new.isEmpty():
-            label = relabelled(label, new)
-        members = None if rest is None else written(rest)
-        turn += 1
-    return label
+    members = written(_members(classes))
+    new = written(_verify(written(_with_pivots(members, least)), texts, size, least))
+    label = None if new.isEmpty() else relabelled(None, new)
+    now = members.select("band", "hash", "node", "weight")
+    if label is None:
+        now = now.withColumn("component", F.col("node"))
+    else:
+        now = now.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = now.groupBy("band", "hash").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))
+    # of two classes one is the pivot: they have been compared
+    now = written(now.join(mixed.where("a < b and n > 2").select("band", "hash"), ["band", "hash"]))
+    nodes = now.select("node").distinct()
+    sketch = written(_sketched(_texts_of(nodes, nodes.count(), texts), size))
+    pairs = written(_by_sketch(now.join(sketch, "node").select("band", "hash", "node", "weight", "component", "sketch"), least))
+    new = written(_verify(pairs, texts, size, least))
+    return label if new.isEmpty() else relabelled(label, new)

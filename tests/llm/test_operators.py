@@ -284,3 +284,28 @@ def test_empty_tables(spark):
         assert f(none).count() == 0
     assert embedding_dedup.near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert textbytes.mix(np.zeros(1, np.uint64))[0] == 0
+
+
+def test_classes_against_all_pairs_where_groups_are_only_alike(spark, monkeypatch):
+    """Groups of texts that overlap by 0.5 to 0.9: no link is lost, also with buckets of many blocks."""
+    monkeypatch.setattr(near_dedup, "_BLOCK_ROWS", 5)
+    rng = np.random.default_rng(3)
+    texts = []
+    for group in range(4):
+        base = [f"g{group}w{k}" for k in range(200)]
+        for member in range(30):
+            words = list(base)
+            for at in rng.choice(200, rng.integers(1, 9), replace=False):
+                words[at] = f"m{group}x{member}y{at}"
+            texts.append(" ".join(words))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(900, texts[5]), (901, None), (902, ""), (903, "one two")]
+    bag = {k: near_dedup._bag(t, 5) for k, t in rows if t}
+    want = {k: k for k, _ in rows}
+    for a in sorted(bag):
+        for b in sorted(bag):
+            if a < b and near_dedup.overlap(bag[a], bag[b]) >= 0.8 and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = {k: low if c == high else c for k, c in want.items()}
+    found = {r.doc_id: r.class_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == want
+    assert len(set(want.values())) > 20
