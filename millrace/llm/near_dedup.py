@@ -205,8 +205,12 @@ def _sketched(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, sketch binary")
 
 
-def _likely(component: np.ndarray, weight: np.ndarray, block: np.ndarray, sketch: np.ndarray, need: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the pairs in one group that may link; with two blocks, only pairs across them."""
+def _likely(component: np.ndarray, weight: np.ndarray, block: np.ndarray, band: np.ndarray, bands: np.ndarray, sketch: np.ndarray, need: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs in one group that may link; with two blocks, only pairs across them.
+
+    A pair that shares several bands comes out in the first: an earlier bucket of both
+    compares them too, or it has only these two and they have been verified.
+    """
     order = np.argsort(component, kind="stable")
     comp, w, b, s = component[order], weight[order], block[order], sketch[order]
     after = np.searchsorted(comp, comp, side="right")  # the first place of a greater component
@@ -220,6 +224,9 @@ def _likely(component: np.ndarray, weight: np.ndarray, block: np.ndarray, sketch
             share = (end - first) / _SKETCH
             at_least = need if end == _SKETCH else share * _SKETCH * least - 4 * np.sqrt(share * _SKETCH * least * (1 - least)) - 1
             j = j[np.count_nonzero(s[j, first:end] == s[i, first:end], axis=1) >= at_least] if len(j) else j
+        if len(j):
+            k = order[i]
+            j = j[~(bands[order[j], : band[k]] == bands[k, : band[k]]).any(axis=1)]
         left.append(np.full(len(j), order[i]))
         right.append(order[j])
     none = np.zeros(0, np.int64)
@@ -227,14 +234,14 @@ def _likely(component: np.ndarray, weight: np.ndarray, block: np.ndarray, sketch
 
 
 def _by_sketch(rows: DataFrame, least: float) -> DataFrame:
-    """(u, v) of unlike components that share a bucket and may link; ``rows`` is (band, hash, node, weight, component, sketch)."""
+    """(u, v) of unlike components that share a bucket and may link; ``rows`` is (band, hash, node, weight, component, sketch, bands)."""
     need = int(np.floor(_SKETCH * least - 4 * np.sqrt(_SKETCH * least * (1 - least))))
     count = rows.groupBy("band", "hash").agg(F.ceil(F.count("*") / _BLOCK_ROWS).alias("n"))
     own = F.pmod(F.xxhash64("node"), F.col("n")).alias("own")
     dealt = rows.join(count, ["band", "hash"]).select("*", own)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
     dealt = dealt.select("*", other).select(
-        F.xxhash64("band", "hash", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "own", "node", "weight", "component", "sketch"
+        F.xxhash64("band", "hash", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "own", "node", "weight", "component", "sketch", "band", "bands"
     )
     dealt = dealt.repartition("g").sortWithinPartitions("g")
 
@@ -242,10 +249,12 @@ def _by_sketch(rows: DataFrame, least: float) -> DataFrame:
         t = t.combine_chunks()
         g, own, node, weight, component = (t.column(k).to_numpy() for k in range(5))
         sketch = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(-1, _SKETCH)
+        band = t.column(6).to_numpy()
+        bands = pa.concat_arrays(t.column(7).chunks).flatten().to_numpy().reshape(len(g), -1)
         cut = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1, [len(g)]))
         found: set[tuple[int, int]] = set()
         for a, b in zip(cut[:-1], cut[1:]):
-            i, j = _likely(component[a:b], weight[a:b], own[a:b], sketch[a:b], need, least)
+            i, j = _likely(component[a:b], weight[a:b], own[a:b], band[a:b], bands[a:b], sketch[a:b], need, least)
             x, y = node[a + i], node[a + j]
             found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
         u, v = zip(*sorted(found)) if found else ((), ())
@@ -286,6 +295,7 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     now = written(now.join(mixed.where("a < b and n > 2").select("band", "hash"), ["band", "hash"]))
     nodes = now.select("node").distinct()
     sketch = written(_sketched(_texts_of(nodes, nodes.count(), texts), size))
-    pairs = written(_by_sketch(now.join(sketch, "node").select("band", "hash", "node", "weight", "component", "sketch"), least))
+    signed_nodes = sketch.join(classes.select("node", "bands"), "node")
+    pairs = written(_by_sketch(now.join(signed_nodes, "node").select("band", "hash", "node", "weight", "component", "sketch", "bands"), least))
     new = written(_verify(pairs, texts, size, least))
     return label if new.isEmpty() else relabelled(label, new)
