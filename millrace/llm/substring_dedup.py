@@ -2,15 +2,17 @@
 
 A text is cut where a rolling hash of its last 32 bytes is small, so cuts depend on
 content only and an insertion shifts nothing beyond its neighbourhood.  Chunks (about 26
-bytes) are grouped by digest; a chunk that stands in two documents or more is repeated, and
-adjoining repeated chunks of a document are one span.  All byte work is vector operations;
+bytes) are grouped by digest; a chunk that stands in two documents or more is repeated.
+Adjoining repeated chunks of a document are one passage, and those of them that have the
+same first document are one span.  All byte work is vector operations;
 the exploded digests meet in one aggregation with map-side combine and one equi-join,
 whose hot digests adaptive execution splits.
 
-A span begins and ends with a chunk, so it is up to some ten words shorter at each end than
-the passage that repeats.  ``least_words`` is therefore less than a third of the 50 words
-from which a passage is to be found: of passages of 51 words, about one in 200 has a
-shorter span.  A span may join passages of several documents.
+A passage begins and ends with a chunk, so it is up to some ten words shorter at each end than
+the text that repeats.  ``least_words`` is therefore less than a third of the 50 words
+from which a passage is to be found: of passages of 51 words, about one in 200 is
+shorter.  A passage may join texts of several documents; its spans tell which stays where, so
+each chunk of a reported passage stays in its first document.
 """
 
 from __future__ import annotations
@@ -103,10 +105,12 @@ def chunks(docs: DataFrame, mean: int = 16, longest: int = 512, text: str = "tex
 def repeated_spans(docs: DataFrame, least_words: int = 16, mean: int = 16, longest: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per repeated span: doc_id, start, end (characters), n_words, first_doc_id, stays.
 
-    first_doc_id is the least id of the documents that hold the span's chunks; a span
-    stays where that is its own document.  Rows that share an id are one document; null ids
-    are one document too, before all others.  Null, empty and short texts have no spans.
-    Repeats within one document alone are none.  Other columns are not read.
+    A passage of ``least_words`` or more is reported, in one span for each run of its chunks
+    that have one first document.  first_doc_id is the least id of the documents that hold
+    each of the span's chunks; a span stays where that is its own document.  Rows that share
+    an id are one document; null ids are one document too, before all others.  Null, empty
+    and short texts have no spans.  Repeats within one document alone are none.  Other
+    columns are not read.
     """
     base = written(chunks(docs, mean, longest, text, key).withColumn("rid", F.monotonically_increasing_id()))
     rows = base.select("rid", "doc", F.posexplode("chunks").alias("no", "c")).select("rid", "doc", "no", "c.start", "c.length", "c.words", "c.digest")
@@ -115,10 +119,13 @@ def repeated_spans(docs: DataFrame, least_words: int = 16, mean: int = 16, longe
     hits = rows.join(shared, "digest")
     order = Window.partitionBy("rid").orderBy("no")
     runs = hits.withColumn("run", F.col("no") - F.row_number().over(order))
-    spans = runs.groupBy("rid", "doc", "run").agg(
+    same = F.lag("run").over(order).eqNullSafe(F.col("run")) & F.lag("first").over(order).eqNullSafe(F.col("first"))
+    parts = runs.withColumn("fresh", F.when(same, 0).otherwise(1)).withColumn("part", F.sum("fresh").over(order))
+    spans = parts.groupBy("rid", "doc", "run", "part").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("words").alias("n_words"), F.min("first").alias("first")
     )
-    spans = spans.where(F.col("n_words") >= least_words)
+    whole = F.sum("n_words").over(Window.partitionBy("rid", "run"))
+    spans = spans.withColumn("whole", whole).where(F.col("whole") >= least_words)
 
     def shown(c: str):
         return F.when(F.col(c) > _FIRST, F.col(c))

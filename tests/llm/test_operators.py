@@ -176,6 +176,30 @@ def test_substring_dedup(spark):
         assert text[r["start"] : r["end"]] in passage and r["n_words"] > 50 and r["stays"] == (r["doc_id"] == 0)
 
 
+def test_each_repeated_chunk_stays_in_its_first_document(spark):
+    rng = random.Random(10)
+    a, b, c = sentence(rng, 60), sentence(rng, 60), sentence(rng, 60)
+    texts = {1: a, 2: a + " " + b, 3: a + " " + b, 4: b, 5: a + " " + c + " " + a, 6: a + " " + c + " " + a}
+    rows = [(i, sentence(rng, 50) + " " + t + " " + sentence(rng, 50)) for i, t in texts.items()]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["stays"] == (r["doc_id"] == r["first_doc_id"]) for r in got)
+
+    def span(i, at):
+        return next((r["first_doc_id"] for r in got if r["doc_id"] == i and r["start"] <= at < r["end"]), None)
+
+    for passage, first in ((a, 1), (b, 2), (c, 5)):
+        for i, t in rows:
+            if passage in t:
+                assert span(i, t.index(passage) + len(passage) // 2) == first
+    # a chunk whose every copy is in a span stays in the first of them
+    where = defaultdict(set)
+    for i, t in rows:
+        for x in substring_dedup.chunk_lists(pa.array([t]), 16, 512).to_pylist()[0]:
+            where[x["digest"]].add((i, span(i, x["start"])))
+    whole = [w for w in where.values() if all(f is not None for _, f in w)]
+    assert whole and all(f == min(i for i, _ in w) for w in whole for _, f in w)
+
+
 def test_chunks_cover_texts():
     texts = ["", None, "x", "é" * 900, "ab cd " * 300]
     for t, c in zip(texts, substring_dedup.chunk_lists(pa.array(texts), 16, 512).to_pylist()):
