@@ -22,16 +22,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.boosting import Forest, decision_tree
 
-#: Elements whose content is no text of the page.
-_RAW = "script|style|title|template|svg|math|iframe|object|canvas|textarea|select|button|audio|video|noembed|noframes|xmp"
+#: Elements whose content is raw text, up to the first end tag or else the page's end.
+_RAW = frozenset("script style title iframe textarea noembed noframes xmp".split())
+#: Elements that nest, whose content is no text of the page; without an end tag they hold nothing.
+_SILENT = frozenset("template svg math object canvas select button audio video".split())
+_FOREIGN = frozenset(("svg", "math"))  # only they, and tags within them, may close themselves
 _SCAN = re.compile(
     r"<!--(?:.*?-->|.*)"
-    rf"|<(?P<raw>{_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*(?:>|$)"
     r"|<[a-zA-Z][^<]*$",  # a tag that the page's end cuts
     re.DOTALL | re.IGNORECASE,
 )
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|$)", re.IGNORECASE) for n in _RAW}
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -212,18 +215,63 @@ class _Reader:
                 break
 
 
-def blocks(page: str) -> _Reader:
-    r, at = _Reader(), 0
-    for m in _SCAN.finditer(page):
-        if m.start() > at:
-            r.text(page[at : m.start()])
+def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, is an end tag, rest) of all markup in order; without a name: a comment or the like."""
+    out, at, foreign = [], 0, 0
+    while m := _SCAN.search(page, at):
         at = m.end()
-        name = m["name"]
-        if name:
-            if m["end"]:
-                r.end(name.lower())
+        name, rest = (m["name"] or "").lower(), m["rest"] or ""
+        if m["end"]:
+            foreign -= name in _FOREIGN and foreign > 0
+        elif name in _FOREIGN:
+            foreign += not rest.endswith("/")
+        elif name in _RAW and not (foreign and rest.endswith("/")):
+            close = _RAW_END[name].search(page, at)
+            at = close.end() if close else len(page)
+            name = ""
+        out.append((m.start(), at, name, bool(m["end"]), rest))
+    return out
+
+
+def _silent(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """Start tag and end tag, by place in ``tags``, of silent elements that end within the element around them."""
+    found, stack = {}, []
+    for i, (_, _, name, end, rest) in enumerate(tags):
+        if name not in _SILENT and (name not in _BLOCK or name in _VOID):
+            continue
+        if not end:
+            if name in _BLOCK and stack and stack[-1][0] == "p":
+                stack.pop()
+            if not (name in _FOREIGN and rest.endswith("/")):
+                stack.append((name, i))
+            continue
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                if name in _SILENT:
+                    found[stack[k][1]] = i
+                del stack[k:]
+                break
+    return found
+
+
+def blocks(page: str) -> _Reader:
+    r, at, tags = _Reader(), 0, _tags(page)
+    silent = _silent(tags) if any(t[2] in _SILENT for t in tags) else {}
+    i = 0
+    while i < len(tags):
+        start, stop, name, end, rest = tags[i]
+        if start > at:
+            r.text(page[at:start])
+        if i in silent:
+            i = silent[i]
+            stop = tags[i][1]
+        elif name and name not in _SILENT:
+            if end:
+                r.end(name)
             else:
-                r.start(name.lower(), m["rest"])
+                r.start(name, rest)
+        at = stop
+        i += 1
     if at < len(page):
         r.text(page[at:])
     r.cut()

@@ -281,6 +281,18 @@ def test_html():
     assert html.unescape("&am") == "&am"
 
 
+def test_html_elements_that_nest_or_stay_open():
+    pages = {
+        '<article><p>One <svg class="i"/> two</p><p>Three</p></article><p>x</p><svg><path/></svg>': "One two\nThree",
+        "<article><p>One <svg><svg>a</svg><title/>b</svg>two <math/>three</p></article>": "One two three",
+        "<article><object>a<object>b</object>c</object><p>Kept text</p></article>": "Kept text",
+        "<article><p>One</p><div><button>Go</div><p>Two</p><audio><p>Three</p></article>": "One\nGo\nTwo\nThree",
+        "<article><p>One <button>Go</button>two <select><option>a<option>b</select>three</p></article>": "One two three",
+        "<article><p>One</p><script>if (a < b) '</p>'</script><p>Two</p><script>open": "One\nTwo",
+    }
+    assert html_text.main_texts(list(pages)) == list(pages.values())
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u", "é"), (None, "u", "x"), (9, "u", "y" * 100000)]
     got = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
