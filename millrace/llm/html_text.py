@@ -50,7 +50,14 @@ _MARKS = frozenset(
 )
 #: Parts of names that mark the article, whatever else the name says.
 _OURS = frozenset("article content main post entry story has with without no page site".split())
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: Whole class names that mark what is not the article, also inside of it.
+_PLAIN_MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot breadcrumb breadcrumbs comment comments commentlist comment-list comments-area comment-respond "
+    "cookie-banner cookie-notice disqus hidden login masthead menu menus modal nav navbar navigation newsletter pager pagination popup promo promos promotion recommended "
+    "related-articles related-posts respond share share-buttons sharing sidebar sidebars signup social-share sponsor sponsored subscribe subscription toc toolbar widget widgets".split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _NAME_PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 
 #: Labelled blocks (fixed values): words, link density, the same of the block before and after
@@ -132,8 +139,8 @@ def tree() -> Forest:
 
 
 @lru_cache(maxsize=20_000)
-def _marked(name: str, rest: str) -> bool:
-    """Does the tag say that its content is not the article?"""
+def _marked(name: str, rest: str, inside: bool) -> bool:
+    """Does the tag say that its content is not the article?  ``inside`` article or main, only by a plain name."""
     if name in _OUTSIDE:
         return True
     for m in _ATTRIBUTE.finditer(rest):
@@ -146,10 +153,18 @@ def _marked(name: str, rest: str) -> bool:
         elif key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
                 return True
-        elif name not in ("html", "body", "main", "article"):
+        elif key in ("class", "id") and name not in ("html", "body", "main", "article"):
             for token in value.split():
+                if inside:
+                    if key == "class" and token.lower() in _PLAIN_MARKS:
+                        return True
+                    continue
                 parts = [p.lower() for p in _NAME_PARTS.split(token) if p]
-                if parts and (parts[0] in _MARKS or parts[-1] in _MARKS) and not _OURS.intersection(parts):
+                if key == "id":  # a slug is the text of a heading: all of its words have to be marks
+                    found = bool(parts) and name not in _HEADINGS and all(p in _MARKS or p.isdigit() for p in parts)
+                else:
+                    found = bool(parts) and (parts[0] in _MARKS or parts[-1] in _MARKS)
+                if found and not _OURS.intersection(parts):
                     return True
     return False
 
@@ -195,7 +210,7 @@ class _Reader:
         if name == "body":
             self.stack = [x for x in self.stack if x[0] != "head"]
         _, marked, inside = self.stack[-1] if self.stack else ("", False, False)
-        mark = _marked(name, rest) or (name == "header" and not inside)
+        mark = _marked(name, rest, inside) or (name == "header" and not inside)
         if name in ("article", "main") and not marked:
             self.has_article = inside = True
         if mark or (block and name not in ("p", "html")):

@@ -293,6 +293,19 @@ def test_html_elements_that_nest_or_stay_open():
     assert html_text.main_texts(list(pages)) == list(pages.values())
 
 
+def test_html_names_and_values_that_mark_nothing():
+    body = (
+        '<h2 id="related-work">Related work</h2><section id="search-algorithms"><p>On search</p></section><div id="hidden-markov-models"><p>On models</p></div>'
+        '<div class="section-header"><p>Of a section with a header</p></div><p>See <a href="/hidden/places">places</a> and <a title="the hidden cost">cost</a></p><div data-role="menu" data-class="ad"><p>Data</p></div>'
+    )
+    want = "Related work\nOn search\nOn models\nOf a section with a header\nSee places and cost\nData"
+    drop = '<div class="ad"><p>Buy</p></div><div role=menu><p>Menu</p></div><div class="x related-posts"><p>More</p></div><p hidden>H</p><div aria-hidden="true"><p>A</p></div><div style="display:none">S</div>'
+    assert html_text.main_texts([f"<article>{body}{drop}</article>", f"<main>{body}</main>"]) == [want, want]
+    long = "a text of some length that any reader would call the main text of this page"
+    page = f'<h2 id="related-work">Related</h2><p>{long}</p><section id="search-algorithms"><p>{long}</p></section><div id="cookie-banner"><p>{long}</p></div>'
+    assert html_text.main_texts([page]) == [f"Related\n{long}\n{long}"]
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u", "é"), (None, "u", "x"), (9, "u", "y" * 100000)]
     got = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
