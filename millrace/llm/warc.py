@@ -1,7 +1,7 @@
 """WARC archives: a writer, and a reader that salvages what damage leaves.
 
-Each record is one gzip member (or, uncompressed, one run of bytes).  The reader checks a
-member's checksum, the version line, the header block, the content length and the block
+Each written record is one gzip member (or, uncompressed, one run of bytes); a member that is
+read may hold several.  The reader checks a member's checksum, the version line, the header block, the content length and the block
 digest.  Where a check fails it searches for the next place from which a valid member (or
 version line) reads, goes on there, and logs the bytes between as a quarantined gap.
 Archives are read as whole files by Spark's binary source, so any store will do; a writer
@@ -93,37 +93,46 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), at - len(z.unused_data)
 
 
-def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The record at ``at``, in a member of its own or plain."""
-    if data.startswith(_MAGIC, at):
-        out, end = _inflate(data, at)
-        headers, block, used = parse(out, 0)
-        if used != len(out):
-            raise Damage("bytes after the record in its member")
-        return headers, block, end
-    return parse(data, at)
+def _member(data: bytes, at: int) -> tuple[bytes, int]:
+    """The bytes of the sound gzip member at ``at``, which holds a record at least, and its end."""
+    out, end = _inflate(data, at)
+    try:
+        parse(out, 0)
+    except Damage:
+        if all(x[0] == "gap" for x in salvage(out, False)):
+            raise
+    return out, end
 
 
-def salvage(data: bytes) -> Iterator[tuple]:
-    """("record", start, end, headers, block) and ("gap", start, end, reason, None), in order, without overlap."""
+def salvage(data: bytes, members: bool = True) -> Iterator[tuple]:
+    """("record", start, end, headers, block) and ("gap", start, end, reason, None), in order, without overlap.
+
+    What one gzip member holds, records and gaps, has the member's start and end.  Without
+    ``members``, no gzip is looked for.
+    """
     at = 0
     while at < len(data):
         try:
-            headers, block, end = _one(data, at)
-            yield "record", at, end, headers, block
+            if members and data.startswith(_MAGIC, at):
+                out, end = _member(data, at)
+                for kind, _, _, x, block in salvage(out, False):
+                    yield kind, at, end, x, block
+            else:
+                headers, block, end = parse(data, at)
+                yield "record", at, end, headers, block
             at = end
             continue
         except Damage as e:
             reason = str(e)
         seek = at + 1
         while True:
-            magic, version = data.find(_MAGIC, seek), _VERSION.search(data, seek)
+            magic, version = data.find(_MAGIC, seek) if members else -1, _VERSION.search(data, seek)
             if magic < 0 and not version:
                 seek = len(data)
                 break
             seek = min(magic if magic >= 0 else len(data), version.start() if version else len(data))
             try:
-                _one(data, seek)
+                _member(data, seek) if seek == magic else parse(data, seek)
                 break
             except Damage:
                 seek += 1

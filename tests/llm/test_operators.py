@@ -326,6 +326,21 @@ def test_warc_salvage(compress):
     assert sum(x[0] == "gap" for x in found) == 3 and [x[1] for x in found[1:]] == [x[2] for x in found[:-1]] and found[-1][2] == len(data)
 
 
+def test_warc_members_of_several_records(spark, tmp_path):
+    parts = [warc.record("response", [("WARC-Record-ID", f"<urn:page:{i}>")], warc.http(5, b"hello")) for i in range(6)]
+    broken = bytearray(parts[3])
+    broken[broken.index(b"hello")] ^= 0xFF
+    members = [warc.member(parts[0] + parts[1]), warc.member(parts[2] + bytes(broken) + parts[4] + b"noise"), warc.member(b"noise"), warc.member(parts[5])]
+    found = list(warc.salvage(b"".join(members)))
+    ends = np.cumsum([0] + [len(m) for m in members]).tolist()
+    assert [(x[0], x[3]["warc-record-id"][10:-1] if x[0] == "record" else None, ends.index(x[1]), ends.index(x[2])) for x in found] == [
+        ("record", "0", 0, 1), ("record", "1", 0, 1), ("record", "2", 1, 2), ("gap", None, 1, 2), ("record", "4", 1, 2), ("gap", None, 1, 2), ("gap", None, 2, 3), ("record", "5", 3, 4)
+    ]
+    (tmp_path / "one.warc.gz").write_bytes(warc.member(b"".join(parts)))
+    got = warc.read(spark, f"file://{tmp_path}").collect()
+    assert [(r["kind"], r["record_id"], bytes(r["payload"])) for r in got] == [("record", f"<urn:page:{i}>", b"hello") for i in range(6)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     tokenizer = packing.public_tokenizer()
