@@ -197,19 +197,25 @@ def near_dedup(vectors: DataFrame, least: float = 0.95, trees: int = 8, vector:
     """One row per vector: vec_id, n_links, component_id, kept (vec_id = component_id).
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with
-    nothing.  Of vectors of several lengths, only the most frequent length (the least of
-    those that tie) is compared.  Repeated rows link with each other.  Null ids take part
+    nothing.  Vectors are compared with those of their own length, in one run for each length
+    that two or more have.  Repeated rows link with each other.  Null ids take part
     but are no component's id unless it has no other.  An empty table gives no rows.
     """
     v = F.col("v")
     clean = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     base = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"))
     base = written(base.select("*", F.coalesce(clean, F.lit(False)).alias("ok"), F.monotonically_increasing_id().alias("rid")))
-    length = base.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    d = length[0]["d"] if length else 0
-    usable = F.col("ok") & (F.size("v") == d)
-    rows = base.where(usable)
-    n = length[0]["count"] if length else 0
+    lengths = base.where("ok").groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()  # a row for each length
+    usable = F.col("ok") & F.size("v").isin([x["d"] for x in lengths])
+    out = base.where(~usable).select("rid", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("rid").alias("component"))
+    for x in lengths:
+        out = out.unionByName(_linked(base.where(F.col("ok") & (F.size("v") == x["d"])), x["count"], least, trees, sample_rows))
+    least_id = out.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    return out.join(least_id, "component").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _linked(rows: DataFrame, n: int, least: float, trees: int, sample_rows: int) -> DataFrame:
+    """(rid, vec_id, n_links, component) of ``n`` clean vectors of one length; written.  A component is the rid of one of its rows."""
     sample = rows.select("rid", "v").orderBy(F.xxhash64("v"), "rid").limit(sample_rows).toPandas()  # bounded
     balls = _balls(rows, sample, n)
     info = written(balls.groupBy("ball").agg(F.count("*").alias("size"), F.max("off").alias("radius")))
@@ -237,7 +243,4 @@ def near_dedup(vectors: DataFrame, least: float = 0.95, trees: int = 8, vector:
     per = info.join(by_ball, "ball", "left").join(joined.withColumnRenamed("id", "ball"), "ball", "left")
     per = per.select("ball", (F.col("size") - 1 + F.coalesce("outer", F.lit(0))).alias("common"), F.coalesce("component", "ball").alias("component"))
     out = balls.select("rid", "vec_id", "ball").join(per, "ball").join(by_row, "rid", "left")
-    out = written(out.select("rid", "vec_id", (F.col("common") + F.coalesce("own", F.lit(0))).alias("n_links"), "component"))
-    out = out.unionByName(base.where(~usable).select("rid", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("rid").alias("component")))
-    least_id = out.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    return out.join(least_id, "component").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return written(out.select("rid", "vec_id", (F.col("common") + F.coalesce("own", F.lit(0))).alias("n_links"), "component"))

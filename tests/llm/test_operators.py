@@ -224,6 +224,13 @@ def test_embedding_dedup(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904))
 
 
+def test_embedding_dedup_of_several_lengths(spark):
+    rows = [(i, [1.0, float(i // 2) * 9, 0.5]) for i in range(6)] + [(10, [1.0, 2.0]), (11, [1.0, 2.0]), (12, [-1.0, 2.0]), (13, [1.0]), (14, None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got[10] == (1, 10, True) and got[11] == (1, 10, False) and got[0] == (1, 0, True) and got[1] == (1, 0, False)
+    assert len(got) == 11 and all(got[i] == (0, i, True) for i in (12, 13, 14))
+
+
 def test_mixing(docs):
     got = mixing.mix_report(docs).collect()
     assert len(got) == docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
