@@ -11,7 +11,7 @@ whose hot digests adaptive execution splits.
 A passage begins and ends with a chunk, so it is up to some ten words shorter at each end than
 the text that repeats.  ``least_words`` is therefore less than a third of the 50 words
 from which a passage is to be found: of passages of 51 words, about one in 200 is
-shorter.  A passage may join texts of several documents; its spans tell which stays where, so
+estimated to be shorter, and far more of repetitive text, which may have no cut.  A passage may join texts of several documents; its spans tell which stays where, so
 each chunk of a reported passage stays in its first document.
 """
 
