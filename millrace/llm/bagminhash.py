@@ -11,7 +11,9 @@ exactly: the unbiased weighted Jaccard.
 
 Points are made in order of time, and only up to the time by which all slots are expected
 to be full, m (ln m + 4) points a document whatever its length; documents with an empty
-slot are continued.
+slot are continued.  At most ``_POINTS`` points are held at once, whatever the number of
+documents and of values in one: processes are run through in slices, and a slot keeps its
+earliest point so far.
 """
 
 from __future__ import annotations
@@ -20,6 +22,29 @@ import numpy as np
 
 from millrace.llm.textbytes import U64, mix
 
+_POINTS = 1 << 18  # made at once; some twenty arrays of eight bytes each
+
+
+def rows_at_once(m: int) -> int:
+    """How many documents of few values make ``_POINTS`` points."""
+    return max(1, int(_POINTS / (m * (np.log(m) + 4))))
+
+
+def _expected(value_length, span, m):
+    """Points to make at a time for processes of these lengths over these times; those that end early go on."""
+    mean = m * value_length * span
+    return np.ceil(mean + np.sqrt(mean) * (mean > 0.5)).astype(np.int64).clip(1)
+
+
+def _slices(n: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of processes that make about ``_POINTS`` points, or one process alone."""
+    end = np.cumsum(n)
+    if not len(n) or end[-1] <= _POINTS:
+        return [(0, len(n))]
+    edge = np.unique(np.searchsorted(end, np.arange(_POINTS, end[-1], _POINTS), side="right").clip(1))
+    at = [0, *edge.tolist(), len(n)]
+    return [(a, b) for a, b in zip(at[:-1], at[1:]) if a < b]
+
 
 def _points(value, interval, weight, row, until, m):
     """(row, slot, time, point) of processes up to each one's time ``until``."""
@@ -30,8 +55,7 @@ def _points(value, interval, weight, row, until, m):
     live = np.arange(len(seed))
     out = []
     while len(live):
-        expect = m * length[live] * (until[live] - clock[live])
-        n = np.ceil(expect + 3 * np.sqrt(expect) + 2).astype(np.int64)
+        n = _expected(length[live], until[live] - clock[live], m)
         who = np.repeat(np.arange(len(live)), n)
         begin = np.cumsum(n) - n
         turn = np.arange(len(who)) - begin[who]
@@ -65,11 +89,14 @@ def signatures(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n_rows: i
     while todo.any():
         use = which[todo[row[which]]]
         cut = interval[todo[row[which]]]
-        r, slot, time, point = _points(value[use], cut, weight[use], row[use], span[row[use]], m)
-        at = r * m + slot
-        np.minimum.at(best, at, time)
-        won = time == best[at]
-        sig[at[won]] = point[won]
+        until = span[row[use]]
+        for a, b in _slices(_expected(np.where(cut == 0, 1.0, np.exp2(cut - 1)), until, m)):
+            one = use[a:b]
+            r, slot, time, point = _points(value[one], cut[a:b], weight[one], row[one], until[a:b], m)
+            at = r * m + slot
+            np.minimum.at(best, at, time)
+            won = time == best[at]
+            sig[at[won]] = point[won]
         missing = np.isinf(best).reshape(n_rows, m).any(axis=1) & todo
         span[missing] *= 2
         todo = missing
@@ -77,9 +104,13 @@ def signatures(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n_rows: i
 
 
 def bands(sig: np.ndarray, n: int, rows: int, seed: int = 7) -> np.ndarray:
-    """(len(sig), n) hashes, as signed 64-bit integers, of ``n`` fixed random choices of ``rows`` slots."""
+    """(len(sig), n) hashes, as signed 64-bit integers, of ``n`` fixed choices of ``rows`` slots.
+
+    The slots are shuffled and dealt out in runs, then shuffled anew, so all slots count alike.
+    """
     rng = np.random.default_rng(seed)
-    chosen = np.array([rng.choice(sig.shape[1], rows, replace=False) for _ in range(n)])
+    runs = sig.shape[1] // rows
+    chosen = np.concatenate([rng.permutation(sig.shape[1])[: runs * rows].reshape(runs, rows) for _ in range(-(-n // runs))])[:n]
     total = np.zeros((len(sig), n), U64)
     for k in range(rows):
         total += mix(sig[:, chosen[:, k]] + U64(k + 1))

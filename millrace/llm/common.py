@@ -1,43 +1,105 @@
-"""Shared pieces: the scratch folder, written tables, and reading the inputs."""
+"""Shared pieces: the scratch folder, written tables, reading the inputs, and Arrow batches in slices."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space as the contracts define it, as the inside of a regex class.
 SPACES = r"\x20\x09-\x0D"
+_SLICE_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder path under ``spark.checkpoint.dir``.
 
-    The cluster names that folder because the driver and all executors share it.
-    Only where it is unset (tests on one machine) a temporary folder stands in.
+    The cluster names that folder because the driver and all executors share it.  Only in a
+    local session, where one machine is all there is, a temporary folder stands in for an
+    unset one; a cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith(("local[", "local ")) and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *done: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
-    This cuts lineage, fixes what is computed once, and survives lost executors.
+    This cuts lineage, fixes what is computed once, and survives lost executors.  After that
+    the written tables ``done``, which nothing reads any more, are deleted.
     """
     path = scratch(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    dropped(*done)
+    return out
+
+
+def dropped(*done: DataFrame) -> None:
+    """Delete the files of tables made by ``written``; others are left alone."""
+    for df in done:
+        if path := df.__dict__.get("_scratch_path"):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, size: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``size`` bytes each, without copying; a larger row is alone."""
+    n = batch.num_rows
+    step = n
+    while step > 1 and n and batch.nbytes * step / n > size:
+        step = (step + 1) // 2
+    if step >= n:
+        if n:
+            yield batch
+        return
+    for at in range(0, n, step):
+        part = batch.slice(at, step)
+        if part.num_rows > 1 and part.nbytes > 2 * size:
+            yield from slices(part, size)
+        else:
+            yield part
+
+
+def in_slices(make: Callable[[pa.RecordBatch], pa.RecordBatch], size: int = _SLICE_BYTES) -> Callable:
+    """A mapInArrow function that applies ``make`` to slices of its batches and at its end returns freed memory.
+
+    Workers are used again by later stages, so what one has freed must not stay with it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, size):
+                yield make(part)
+        release()
+
+    return run
+
+
+def release() -> None:
+    """Hand freed memory back to the system, where it has a way to."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        return
+
+
 def shuffle_width(df: DataFrame) -> int:
     """The session's shuffle partition count, for explicit repartitioning."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

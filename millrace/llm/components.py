@@ -48,7 +48,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _settled(now):
             break
-        now = written(_linked(_small_star(_linked(_large_star(now)))))
+        now = written(_linked(_small_star(_linked(_large_star(now)))), now)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("id")).distinct()

@@ -15,12 +15,18 @@
    ``least``.  So every pair that shares a bucket is verified, known to be connected, or
    ruled out by its sketch (a pair of overlap ``least`` with probability 3e-5).
 5. A pair is verified on whole texts: sum of minima over sum of maxima of shingle counts.
+   Pairs are grouped by pivot, a popular one in several groups; a group holds the pivot's text
+   once, first, and then the others', so a worker holds one bag.
 
 The sketches of a bucket whose members are alike without being near copies are compared with
 each other, some 10^6 pairs a second and core; nothing but likely links is emitted.
 
-Of 128 slots, 64 random choices of 8 are the bands: a pair of similarity 0.8 is missed with
-probability 7.9e-4 (simulated: the bands share slots), and documents that share a passage of half their length seldom meet.
+The bands are 64 runs of 8 of 256 slots: a pair of similarity 0.8 is missed with probability
+5.5e-5 (simulated, as the bands share slots), and documents that share a passage of half their
+length seldom meet.
+
+Counts of buckets, pivots and components are written before rows are joined with them, so
+such a join is of two plain shuffles and adaptive execution splits its hot keys.
 """
 
 from __future__ import annotations
@@ -31,22 +37,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.bagminhash import bands, signatures
-from millrace.llm.common import written
+from millrace.llm.bagminhash import bands, rows_at_once, signatures
+from millrace.llm.common import in_slices, release, written
 from millrace.llm.components import relabelled
 from millrace.llm.textbytes import U64, bags, blocks, mix, shingles
 
-_SEND_ROWS = 1_000_000  # a broadcast of so many ids at most (16 MB)
+_SEND_ROWS = 500_000  # a broadcast of so many rows of two or four longs at most (8 to 16 MB)
 _SKETCH = 512  # slots of a sketch, a byte each
 _BLOCK_ROWS = 2048  # a block of a bucket, on average at most
-_CACHE_BYTES = 64 << 20  # bags kept while pairs are verified
+_GROUP_PAIRS = 256  # of one pivot, verified together, on average at most
 
 _SIGNED = pa.schema([("bag_a", pa.int64()), ("bag_b", pa.int64()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(column: pa.Array, size: int, m: int, n_bands: int, rows: int) -> pa.RecordBatch:
     parts = []
-    for first, end, data, offsets in blocks(column):
+    for first, end, data, offsets in blocks(column, rows=rows_at_once(m)):
         row, value = shingles(data, offsets, size)
         n = end - first
         sums = [np.zeros(n, U64), np.zeros(n, U64)]
@@ -64,12 +70,11 @@ def signed(docs: DataFrame, size: int, m: int, n_bands: int, rows: int, text: st
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("none"))
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), rest.alias("others"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = _sign(batch.column(1), size, m, n_bands, rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made.columns], names=["id", "text", "others", *made.schema.names])
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = _sign(batch.column(1), size, m, n_bands, rows)
+        return pa.RecordBatch.from_arrays([*batch.columns, *made.columns], names=["id", "text", "others", *made.schema.names])
 
-    return slim.mapInArrow(run, f"id long, text string, others {slim.schema['others'].dataType.simpleString()}, bag_a long, bag_b long, weight long, bands array<long>")
+    return slim.mapInArrow(in_slices(make), f"id long, text string, others {slim.schema['others'].dataType.simpleString()}, bag_a long, bag_b long, weight long, bands array<long>")
 
 
 def _bag(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,45 +91,41 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
 
 
-def _texts_of(nodes: DataFrame, n: int, texts: DataFrame) -> DataFrame:
-    """The rows of ``texts`` with the ids in ``nodes``, of which there are ``n`` at most."""
-    # ids only, counted; beyond the bound an ordinary join
-    return texts.join(F.broadcast(nodes) if n <= _SEND_ROWS else nodes, "node", "left_semi")
-
-
-class _Bags:
-    """Bags of texts by id, the last made within a bound of bytes."""
-
-    def __init__(self, size: int):
-        self.size, self.held, self.bytes = size, {}, 0
-
-    def of(self, node: int, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        if node not in self.held:
-            bag = _bag(text.as_py(), self.size)
-            self.held[node] = bag
-            self.bytes += bag[0].nbytes + bag[1].nbytes
-            while self.bytes > _CACHE_BYTES and len(self.held) > 1:
-                old = self.held.pop(next(iter(self.held)))
-                self.bytes -= old[0].nbytes + old[1].nbytes
-            return bag
-        return self.held[node]
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` narrow rows, sent everywhere where they are few; beyond the bound joined by a shuffle."""
+    return F.broadcast(df) if n <= _SEND_ROWS else df
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """Those (u, v) of the written ``pairs`` whose texts overlap enough; ``texts`` is (node, text)."""
-    ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-    few = _texts_of(ends, 2 * pairs.count(), texts)
-    one = pairs.join(few.withColumnsRenamed({"node": "u", "text": "text_u"}), "u")
-    two = one.join(few.withColumnsRenamed({"node": "v", "text": "text_v"}), "v").select("u", "v", "text_u", "text_v")
+    """Those (u, v) of the written ``pairs`` whose texts overlap enough; ``texts`` is (node, text).
+
+    u is the pivot.  A null text stands for none; such a pair can't be, as classes have words.
+    """
+    n = pairs.count()
+    slots = written(pairs.groupBy("u").agg(F.ceil(F.count("*") / _GROUP_PAIRS).alias("n")))
+    dealt = pairs.join(_small(slots, n), "u").select("u", F.pmod(F.xxhash64("v"), "n").alias("slot"), F.col("v").alias("node"))
+    heads = slots.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"), F.lit(None).cast("long").alias("v"), F.col("u").alias("node"))
+    asked = heads.unionByName(dealt.select("u", "slot", F.col("node").alias("v"), "node"))
+    rows = texts.join(_small(asked, 2 * n), "node").select("u", "slot", "v", "text")
+    rows = rows.repartition("u", "slot").sortWithinPartitions("u", "slot", F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag = _Bags(size)
+        pivot = None, (np.zeros(0, U64), np.zeros(0, np.int64))
         for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = pa.array([overlap(bag.of(v[i], batch.column(3)[i]), bag.of(u[i], batch.column(2)[i])) >= least for i in range(len(u))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
-
-    return two.mapInArrow(run, "u long, v long")
+            u, v, text = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            keep = np.zeros(len(u), bool)
+            for i in range(len(u)):
+                bag = _bag(text[i].as_py(), size)
+                if v[i] is None:
+                    pivot = u[i], bag
+                else:
+                    assert pivot[0] == u[i]
+                    keep[i] = overlap(pivot[1], bag) >= least
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(2).filter(mask)], names=["u", "v"])
+        release()
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -133,13 +134,13 @@ def _members(classes: DataFrame) -> DataFrame:
     others: how many share the bucket; meets: their sum over all buckets of the class.
     """
     rows = classes.select("node", "weight", F.posexplode("bands").alias("band", "hash"))
-    shared = rows.groupBy("band", "hash").agg((F.count("*") - 1).alias("others")).where("others > 0")
-    held = written(rows.join(shared, ["band", "hash"]))
-    return held.join(held.groupBy("node").agg(F.sum("others").alias("meets")), "node")
+    shared = written(rows.groupBy("band", "hash").agg((F.count("*") - 1).alias("others")).where("others > 0"))
+    held = written(rows.join(shared, ["band", "hash"]), shared)
+    return written(held.join(held.groupBy("node").agg(F.sum("others").alias("meets")), "node"), held)
 
 
 def near_dedup(
-    docs: DataFrame, least: float = 0.8, size: int = 5, slots: int = 128, n_bands: int = 64, band_rows: int = 8, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, least: float = 0.8, size: int = 5, slots: int = 256, n_bands: int = 64, band_rows: int = 8, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept.
 
@@ -152,19 +153,24 @@ def near_dedup(
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", (F.col("rid") == F.col("keep")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.8, size: int = 5, slots: int = 128, n_bands: int = 64, band_rows: int = 8) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class; all columns as they were."""
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.8, size: int = 5, slots: int = 256, n_bands: int = 64, band_rows: int = 8) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class; all columns as they were, whatever their names.
+
+    Of a class stays a row of its least id (null ids last; of rows that share it, any one, told
+    apart by where they stand).  Rows with null or empty texts or without words all stay.
+    Long texts are read whole.  Repeated rows are copies, so one stays.  An empty table gives
+    an empty one.
+    """
     others = [c for c in docs.columns if c != text]
     base, found = _classes(docs, others, text, key, least, size, slots, n_bands, band_rows)
     gone = written(found.where("rid <> keep").select("rid"))
-    # ids only, counted; beyond the bound an ordinary join
-    stay = base.join(F.broadcast(gone) if gone.count() <= _SEND_ROWS else gone, "rid", "left_anti")
+    stay = base.join(_small(gone, gone.count()), "rid", "left_anti")
     back = {c: F.col(f"others.c{i}") for i, c in enumerate(others)} | {text: F.col("text")}
     return stay.select(*[back[c].alias(c) for c in docs.columns])
 
 
 def _classes(docs, others, text, key, least, size, slots, n_bands, band_rows) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, written, and (rid, id, component, class_id, class_size, keep)."""
+    """The signed rows, written, and (rid, id, class_id, class_size, keep)."""
     rows = signed(docs, size, slots, n_bands, band_rows, text, key, others)
     base = written(rows.withColumn("rid", F.monotonically_increasing_id()))
     slim = base.select("rid", "id", "bag_a", "bag_b", "weight")
@@ -178,31 +184,37 @@ def _classes(docs, others, text, key, least, size, slots, n_bands, band_rows) ->
     member = slim.where("weight > 0").join(of_bag.select("bag_a", "bag_b", "component"), ["bag_a", "bag_b"]).select("rid", "id", "component")
     member = written(member.unionByName(slim.where("weight = 0").select("rid", "id", F.col("rid").alias("component"))))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
-    top = member.groupBy("component").agg(first.alias("x"), F.count("*").alias("class_size"))
-    return base, member.join(top.select("component", "class_size", F.col("x.id").alias("class_id"), F.col("x.rid").alias("keep")), "component")
+    top = member.groupBy("component").agg(first.alias("x"), F.count("*").alias("class_size")).where("class_size > 1")
+    top = written(top.select("component", "class_size", F.col("x.id").alias("class_id"), F.col("x.rid").alias("keep")))
+    every = member.join(_small(top, top.count()), "component", "left")
+    alone = F.col("keep").isNull()
+    return base, every.select(
+        "rid", "id", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce("keep", "rid").alias("keep")
+    )
 
 
 def _with_pivots(members: DataFrame, least: float) -> DataFrame:
-    """(u, v): each member and its bucket's pivot, where their weights allow a link."""
+    """(u, v): each bucket's pivot u and its members v, where their weights allow a link; a pair once."""
     order = F.struct(-F.col("meets"), F.xxhash64("node"), "node")
     pivot = members.groupBy("band", "hash").agg(F.min(F.struct(order.alias("order"), "node", "weight")).alias("p")).select("band", "hash", "p.node", "p.weight")
-    met = members.join(pivot.withColumnsRenamed({"node": "v", "weight": "wv"}), ["band", "hash"])
-    fits = F.least("weight", "wv") >= F.greatest("weight", "wv") * F.lit(least)
-    return met.where((F.col("node") != F.col("v")) & fits).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    met = members.join(written(pivot).withColumnsRenamed({"node": "u", "weight": "wu"}), ["band", "hash"])
+    fits = F.least("weight", "wu") >= F.greatest("weight", "wu") * F.lit(least)
+    # each of two may be the pivot of the other in some bucket
+    pairs = met.where((F.col("node") != F.col("u")) & fits).groupBy(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).agg(F.min("u").alias("u"))
+    return pairs.select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
 
 
 def _sketched(texts: DataFrame, size: int) -> DataFrame:
     """(node, sketch): a byte of each of the slots of a longer signature."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for first, end, data, offsets in blocks(batch.column(1)):
-                sig = signatures(*bags(*shingles(data, offsets, size)), end - first, _SKETCH)
-                made += [row.tobytes() for row in mix(sig).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "sketch"])
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = []
+        for first, end, data, offsets in blocks(batch.column(1), rows=rows_at_once(_SKETCH)):
+            sig = signatures(*bags(*shingles(data, offsets, size)), end - first, _SKETCH)
+            made += [row.tobytes() for row in mix(sig).astype(np.uint8)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "sketch"])
 
-    return texts.mapInArrow(run, "node long, sketch binary")
+    return texts.mapInArrow(in_slices(make), "node long, sketch binary")
 
 
 def _likely(component: np.ndarray, weight: np.ndarray, block: np.ndarray, band: np.ndarray, bands: np.ndarray, sketch: np.ndarray, need: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -234,11 +246,12 @@ def _likely(component: np.ndarray, weight: np.ndarray, block: np.ndarray, band:
 
 
 def _by_sketch(rows: DataFrame, least: float) -> DataFrame:
-    """(u, v) of unlike components that share a bucket and may link; ``rows`` is (band, hash, node, weight, component, sketch, bands)."""
+    """(u, v) of unlike components that share a bucket and may link.
+
+    ``rows`` is (band, hash, node, weight, component, n, sketch, bands); n: blocks of the bucket.
+    """
     need = int(np.floor(_SKETCH * least - 4 * np.sqrt(_SKETCH * least * (1 - least))))
-    count = rows.groupBy("band", "hash").agg(F.ceil(F.count("*") / _BLOCK_ROWS).alias("n"))
-    own = F.pmod(F.xxhash64("node"), F.col("n")).alias("own")
-    dealt = rows.join(count, ["band", "hash"]).select("*", own)
+    dealt = rows.select("*", F.pmod(F.xxhash64("node"), F.col("n")).alias("own"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
     dealt = dealt.select("*", other).select(
         F.xxhash64("band", "hash", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "own", "node", "weight", "component", "sketch", "band", "bands"
@@ -282,8 +295,9 @@ def _by_sketch(rows: DataFrame, least: float) -> DataFrame:
 
 def _links(classes: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame | None:
     """(node, component) after all candidates are compared or known to be connected; None without links."""
-    members = written(_members(classes))
-    new = written(_verify(written(_with_pivots(members, least)), texts, size, least))
+    members = _members(classes)
+    pairs = written(_with_pivots(members, least))
+    new = written(_verify(pairs, texts, size, least), pairs)
     label = None if new.isEmpty() else relabelled(None, new)
     now = members.select("band", "hash", "node", "weight")
     if label is None:
@@ -292,10 +306,11 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
         now = now.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = now.groupBy("band", "hash").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))
     # of two classes one is the pivot: they have been compared
-    now = written(now.join(mixed.where("a < b and n > 2").select("band", "hash"), ["band", "hash"]))
+    now = written(now.join(written(mixed.where("a < b and n > 2").select("band", "hash")), ["band", "hash"]), members, new)
     nodes = now.select("node").distinct()
-    sketch = written(_sketched(_texts_of(nodes, nodes.count(), texts), size))
+    sketch = written(_sketched(texts.join(_small(nodes, nodes.count()), "node", "left_semi"), size))
     signed_nodes = sketch.join(classes.select("node", "bands"), "node")
-    pairs = written(_by_sketch(now.join(signed_nodes, "node").select("band", "hash", "node", "weight", "component", "sketch", "bands"), least))
-    new = written(_verify(pairs, texts, size, least))
+    count = written(now.groupBy("band", "hash").agg(F.ceil(F.count("*") / _BLOCK_ROWS).alias("n")))
+    pairs = written(_by_sketch(now.join(count, ["band", "hash"]).join(signed_nodes, "node"), least), now, sketch, count)
+    new = written(_verify(pairs, texts, size, least), pairs)
     return label if new.isEmpty() else relabelled(label, new)

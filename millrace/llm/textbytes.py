@@ -10,7 +10,7 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,8 +26,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def blocks(column: pa.Array, size: int = _BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about ``size`` bytes; null is empty.
+def blocks(column: pa.Array, size: int = _BLOCK, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of at most ``rows`` rows and about ``size`` bytes; null is empty.
 
     A longer text is a block of its own, whole.
     """
@@ -40,7 +40,7 @@ def blocks(column: pa.Array, size: int = _BLOCK) -> Iterator[tuple[int, int, np.
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
+        end = min(row + rows, max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
@@ -49,11 +49,16 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        x = np.full(max(n, _BLOCK + 1), base, U64)
-        x[0] = 1
-        _powers[name] = np.cumprod(x)
-    return _powers[name]
+    """base ** i for i below ``n``; kept for blocks of usual length only."""
+    usual = n <= _BLOCK + 1
+    if usual and name in _powers:
+        return _powers[name]
+    x = np.full(max(n, _BLOCK + 1), base, U64)
+    x[0] = 1
+    x = np.cumprod(x)
+    if usual:
+        _powers[name] = x
+    return x
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
