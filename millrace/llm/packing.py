@@ -21,7 +21,6 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import in_slices, written
 from millrace.llm.tokens import worker_encoder
 
 _BUCKET_ROWS = 100_000
@@ -134,21 +133,20 @@ def encoded(docs: DataFrame, capacity: int, tokenizer: tuple, text: str = "text"
     All pieces of a cut document but the first have ``capacity`` ids.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = worker_encoder(*tokenizer)
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text_ in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(enc.ids(text_.as_py() or ""), np.uint32(0)).astype("<u4")
-                first = (len(ids) - 1) % capacity + 1
-                start = 0
-                for piece, end in enumerate(range(first, len(ids) + 1, capacity)):
-                    out.append((doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
-                    start = end
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _PIECE.types)] if out else [pa.array([], t) for t in _PIECE.types], schema=_PIECE)
+        out: list[tuple] = []
+        for doc_id, text_ in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = np.append(enc.ids(text_.as_py() or ""), np.uint32(0)).astype("<u4")
+            first = (len(ids) - 1) % capacity + 1
+            start = 0
+            for piece, end in enumerate(range(first, len(ids) + 1, capacity)):
+                out.append((doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
+                start = end
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _PIECE.types)] if out else [pa.array([], t) for t in _PIECE.types], schema=_PIECE)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        in_slices(cut), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 
@@ -183,8 +181,9 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: tuple, capacity: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one id (the closing 0).  Repeated rows are packed each.  Other
-    columns are not read.  An empty table gives no rows.
+    Null and empty texts are one id (the closing 0).  Long texts are encoded whole and cut.
+    Rows that tie in id and piece, repeated rows among them, are packed each, in any order.
+    Null ids are packed as others.  Other columns are not read.  An empty table gives no rows.
     """
     return place(written(encoded(docs, capacity, tokenizer, text, key)), capacity)
 

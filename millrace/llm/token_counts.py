@@ -10,12 +10,13 @@ So counts of sections add up to the document's.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.common import in_slices
 from millrace.llm.tokens import worker_encoder
 
 
@@ -44,24 +45,24 @@ def token_counts(
 ) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_chars, n_sections, section_starts, section_tokens.
 
-    Null and empty texts have one empty section and no tokens.  Repeated rows give a row
-    each, extra columns are not read, and an empty table gives no rows.
+    Null and empty texts have one empty section and no tokens.  Long texts are encoded whole.
+    Repeated rows give a row each, null ids too; ties can't be.  Extra columns are not read, and
+    an empty table gives no rows.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = worker_encoder(*tokenizer)
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py() or ""
-                starts = sections(t)
-                tokens = attribute(enc.starts(t), starts)
-                rows.append((doc_id, int(tokens.sum()), len(t), len(starts), starts, tokens))
-            columns = list(zip(*rows)) or [[]] * len(_OUT)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _OUT)], schema=_OUT)
+        rows: list[tuple] = []
+        for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            t = t.as_py() or ""
+            starts = sections(t)
+            tokens = attribute(enc.starts(t), starts)
+            rows.append((doc_id, int(tokens.sum()), len(t), len(starts), starts, tokens))
+        columns = list(zip(*rows)) or [[]] * len(_OUT)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _OUT)], schema=_OUT)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        count, "doc_id long, n_tokens long, n_chars long, n_sections int, section_starts array<long>, section_tokens array<long>"
+        in_slices(count), "doc_id long, n_tokens long, n_chars long, n_sections int, section_starts array<long>, section_tokens array<long>"
     )
 
 

@@ -1,9 +1,12 @@
 """Encoding with public byte-level BPE vocabularies.
 
-The ids are those of the ``tokenizers`` JSON file.  Where every character is below
-U+0250, the rank file of the same vocabulary gives the same ids several times as fast by
-``tiktoken`` (in that range the two libraries agree on what letters, numbers and white
-space are; a property test compares them).  All other texts go through ``tokenizers``.
+The ids are those of the ``tokenizers`` JSON file, as ``encode(text, add_special_tokens=False)``
+of a fresh ``Tokenizer`` gives them: the string of an added token in a text is that token's id.
+With ``special_as_text`` it is ordinary text.  Where every character is below U+0250 and no
+such string stands in the text, the rank file of the same vocabulary gives the same ids
+several times as fast by ``tiktoken`` (in that range the two libraries agree on what letters,
+numbers and white space are; a property test compares them with a fresh ``Tokenizer``).  All
+other texts go through ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ _WIDE = re.compile(r"[^\x00-ɏ]")
 class ByteBpe:
     """ids and character offsets of whole texts."""
 
-    def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
+    def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(json_path)
-        self._tok.encode_special_tokens = True  # their strings are ordinary text
+        self._tok.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        # an added token may take in white space around it, so its presence alone decides
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._quick = None
         if ranks_path:
             import tiktoken
@@ -38,7 +44,7 @@ class ByteBpe:
                 self._width[i] = len(token)
 
     def _rapid(self, text: str) -> np.ndarray | None:
-        if self._quick is None or _WIDE.search(text):
+        if self._quick is None or _WIDE.search(text) or (self._added and self._added.search(text)):
             return None
         try:
             return np.array(self._quick.encode_ordinary(text), np.uint32)
