@@ -1,6 +1,5 @@
 """Each operator against a brute-force version, with nulls, empties, repeats and odd columns."""
 
-import html
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -108,14 +107,6 @@ def test_near_dedup(docs):
     assert near_dedup.keep_one(docs).count() == len(classes) and near_dedup.keep_one(docs).columns == docs.columns
 
 
-def test_encoder_equals_whole_texts():
-    path = packing.public_tokenizer()
-    e = ByteBpe(*path)
-    for t in ["", " a", "a  b\n\n c\t\td  <|endoftext|>", "naïve façade\xa0x\x1cy\x85z", "日本語 テスト 😀é́", "x" * 3000, " " * 500 + "y"]:
-        g = e._tok.encode(t, add_special_tokens=False)
-        assert e.ids(t).tolist() == g.ids and e.starts(t).tolist() == [s for s, _ in g.offsets]
-
-
 def test_packing(docs):
     tokenizer = packing.public_tokenizer()
     e = ByteBpe(*tokenizer)
@@ -152,54 +143,6 @@ def test_packing_plan(seed):
         assert [o for o, _ in sorted(b)] == [sum(x for _, x in sorted(b)[:i]) for i in range(len(b))] and sum(x for _, x in b) <= 60
 
 
-def test_token_counts(docs):
-    tokenizer = packing.public_tokenizer()
-    e = ByteBpe(*tokenizer)
-    for r in token_counts.token_counts(docs, tokenizer).collect():
-        assert r["n_tokens"] == sum(r["section_tokens"]) and len(r["section_starts"]) == r["n_sections"] >= 1
-    t = "one two\nthree\n\nfour é"
-    starts = token_counts.paragraphs(t)
-    assert starts.tolist() == [0, 8, 14, 15]
-    counts = token_counts.attribute(e.starts(t), starts)
-    assert counts.tolist() == [sum(1 for s in e.starts(t) if lo <= s < hi) for lo, hi in zip([0, 8, 14, 15], [8, 14, 15, 99])]
-
-
-def test_substring_dedup(spark):
-    rng = random.Random(9)
-    passage = sentence(rng, 80)
-    rows = [(i, sentence(rng, 150) + " " + (passage if i < 4 else "") + " " + sentence(rng, 100)) for i in range(12)]
-    rows += [(20, None), (21, ""), (22, "short"), (None, sentence(rng, 30)), (23, "日本" * 2000)]
-    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"] for r in got} == {0, 1, 2, 3} and {r["first_doc_id"] for r in got} == {0}
-    for r in got:
-        text = dict(rows)[r["doc_id"]]
-        assert text[r["start"] : r["end"]] in passage and r["n_words"] > 50 and r["stays"] == (r["doc_id"] == 0)
-
-
-def test_each_repeated_chunk_stays_in_its_first_document(spark):
-    rng = random.Random(10)
-    a, b, c = sentence(rng, 60), sentence(rng, 60), sentence(rng, 60)
-    texts = {1: a, 2: a + " " + b, 3: a + " " + b, 4: b, 5: a + " " + c + " " + a, 6: a + " " + c + " " + a}
-    rows = [(i, sentence(rng, 50) + " " + t + " " + sentence(rng, 50)) for i, t in texts.items()]
-    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert all(r["stays"] == (r["doc_id"] == r["first_doc_id"]) for r in got)
-
-    def span(i, at):
-        return next((r["first_doc_id"] for r in got if r["doc_id"] == i and r["start"] <= at < r["end"]), None)
-
-    for passage, first in ((a, 1), (b, 2), (c, 5)):
-        for i, t in rows:
-            if passage in t:
-                assert span(i, t.index(passage) + len(passage) // 2) == first
-    # a chunk whose every copy is in a span stays in the first of them
-    where = defaultdict(set)
-    for i, t in rows:
-        for x in substring_dedup.chunk_lists(pa.array([t]), 16, 512).to_pylist()[0]:
-            where[x["digest"]].add((i, span(i, x["start"])))
-    whole = [w for w in where.values() if all(f is not None for _, f in w)]
-    assert whole and all(f == min(i for i, _ in w) for w in whole for _, f in w)
-
-
 def test_chunks_cover_texts():
     texts = ["", None, "x", "é" * 900, "ab cd " * 300]
     for t, c in zip(texts, substring_dedup.chunk_lists(pa.array(texts), 16, 512).to_pylist()):
@@ -278,76 +221,6 @@ def test_quality(spark):
     assert quality.classify(docs, labels.limit(0)).where("score <> 0.5").count() == 0
 
 
-def test_html():
-    page = (
-        '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><!-- x --><div class="ad">Buy now</div>'
-        "<article><h1>Head &amp; line</h1><p>One  two\nthree<br>four<p>Five &lt;six&gt;</p><div class='comments'><p>I agree wholeheartedly</p></div></article>"
-        '<aside>Side</aside><form><p>Name</p></form><footer>&copy; me</footer>'
-    )
-    assert html_text.main_texts([page, "", "plain"]) == ["Head & line\nOne two three four\nFive <six>", "", "plain"]
-    assert html.unescape("&am") == "&am"
-
-
-def test_html_elements_that_nest_or_stay_open():
-    pages = {
-        '<article><p>One <svg class="i"/> two</p><p>Three</p></article><p>x</p><svg><path/></svg>': "One two\nThree",
-        "<article><p>One <svg><svg>a</svg><title/>b</svg>two <math/>three</p></article>": "One two three",
-        "<article><object>a<object>b</object>c</object><p>Kept text</p></article>": "Kept text",
-        "<article><p>One</p><div><button>Go</div><p>Two</p><audio><p>Three</p></article>": "One\nGo\nTwo\nThree",
-        "<article><p>One <button>Go</button>two <select><option>a<option>b</select>three</p></article>": "One two three",
-        "<article><p>One</p><script>if (a < b) '</p>'</script><p>Two</p><script>open": "One\nTwo",
-    }
-    assert html_text.main_texts(list(pages)) == list(pages.values())
-
-
-def test_html_names_and_values_that_mark_nothing():
-    body = (
-        '<h2 id="related-work">Related work</h2><section id="search-algorithms"><p>On search</p></section><div id="hidden-markov-models"><p>On models</p></div>'
-        '<div class="section-header"><p>Of a section with a header</p></div><p>See <a href="/hidden/places">places</a> and <a title="the hidden cost">cost</a></p><div data-role="menu" data-class="ad"><p>Data</p></div>'
-    )
-    want = "Related work\nOn search\nOn models\nOf a section with a header\nSee places and cost\nData"
-    drop = '<div class="ad"><p>Buy</p></div><div role=menu><p>Menu</p></div><div class="x related-posts"><p>More</p></div><p hidden>H</p><div aria-hidden="true"><p>A</p></div><div style="display:none">S</div>'
-    assert html_text.main_texts([f"<article>{body}{drop}</article>", f"<main>{body}</main>"]) == [want, want]
-    long = "a text of some length that any reader would call the main text of this page"
-    page = f'<h2 id="related-work">Related</h2><p>{long}</p><section id="search-algorithms"><p>{long}</p></section><div id="cookie-banner"><p>{long}</p></div>'
-    assert html_text.main_texts([page]) == [f"Related\n{long}\n{long}"]
-
-
-def test_warc_round_trip(spark):
-    rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u", "é"), (None, "u", "x"), (9, "u", "y" * 100000)]
-    got = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert len(got) == 7 and (got[2]["record_type"], got[1]["refers_to"], got[None]["refers_to"], got[3]["refers_to"]) == ("response", 2, 2, 4)
-    assert got[5]["payload_bytes"] == 2 and got[1]["payload_bytes"] == 1 and got[1]["payload_digest"] == warc.sha1_base32(b"x")
-    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-@pytest.mark.parametrize("compress", [True, False])
-def test_warc_salvage(compress):
-    parts = [warc.record("response", [("WARC-Record-ID", f"<urn:page:{i}>")], warc.http(5, b"hello")) for i in range(5)]
-    parts = [warc.member(p) for p in parts] if compress else parts
-    broken = bytearray(parts[2])
-    broken[len(broken) // 2] ^= 0xFF
-    data = parts[0] + b"noise" + parts[1] + bytes(broken) + parts[3] + parts[4][:-9]
-    found = list(warc.salvage(data))
-    assert [x[3]["warc-record-id"] for x in found if x[0] == "record"] == ["<urn:page:0>", "<urn:page:1>", "<urn:page:3>"]
-    assert sum(x[0] == "gap" for x in found) == 3 and [x[1] for x in found[1:]] == [x[2] for x in found[:-1]] and found[-1][2] == len(data)
-
-
-def test_warc_members_of_several_records(spark, tmp_path):
-    parts = [warc.record("response", [("WARC-Record-ID", f"<urn:page:{i}>")], warc.http(5, b"hello")) for i in range(6)]
-    broken = bytearray(parts[3])
-    broken[broken.index(b"hello")] ^= 0xFF
-    members = [warc.member(parts[0] + parts[1]), warc.member(parts[2] + bytes(broken) + parts[4] + b"noise"), warc.member(b"noise"), warc.member(parts[5])]
-    found = list(warc.salvage(b"".join(members)))
-    ends = np.cumsum([0] + [len(m) for m in members]).tolist()
-    assert [(x[0], x[3]["warc-record-id"][10:-1] if x[0] == "record" else None, ends.index(x[1]), ends.index(x[2])) for x in found] == [
-        ("record", "0", 0, 1), ("record", "1", 0, 1), ("record", "2", 1, 2), ("gap", None, 1, 2), ("record", "4", 1, 2), ("gap", None, 1, 2), ("gap", None, 2, 3), ("record", "5", 3, 4)
-    ]
-    (tmp_path / "one.warc.gz").write_bytes(warc.member(b"".join(parts)))
-    got = warc.read(spark, f"file://{tmp_path}").collect()
-    assert [(r["kind"], r["record_id"], bytes(r["payload"])) for r in got] == [("record", f"<urn:page:{i}>", b"hello") for i in range(6)]
-
-
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     tokenizer = packing.public_tokenizer()
