@@ -31,14 +31,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, *done: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
+def written(df: DataFrame, *done: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back; a folder for each value of ``by``.
 
     This cuts lineage, fixes what is computed once, and survives lost executors.  After that
     the written tables ``done``, which nothing reads any more, are deleted.
     """
     path = scratch(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     dropped(*done)
