@@ -260,7 +260,10 @@ def mix(docs: DataFrame, seed: int = 0, text: str = "text", key: str = "doc_id",
     """The mix itself: rows of ``docs``, whole, as often as they are taken, with columns shard and order.
 
     Rows of a shard, sorted by order, are shuffled.  Texts do not move: each document reads
-    off the block table what becomes of it.
+    off the block table what becomes of it.  Null and empty texts have no words and are never
+    taken.  A null source is a source.  Rows that tie in id and source, repeated ones among
+    them, are drawn alike.  Long texts count in full.  An empty table gives no rows.  Where
+    ``docs`` has columns shard or order, the new ones are mix_shard and mix_order.
     """
     _, blocks = plan(docs, seed=seed, whole=True, text=text, key=key, source=source, **options)
     wide = docs.select(

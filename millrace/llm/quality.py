@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.boosting import Forest, boost
+from millrace.llm.common import release
 
 MAX_LABELLED = 12_000
 
@@ -81,7 +82,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     """A forest for P(label = 1).
 
     Labels that are null are ignored, as are ids without a document; contradicting labels
-    of one id go by their mean.  Without labels the score is 0.5 everywhere.
+    of one id go by their mean.  Of documents that share an id, the one with the least
+    statistics counts, so at most ``max_labelled`` rows come to the driver.  Without labels
+    the score is 0.5 everywhere.
     """
     ids = (
         labels.select(F.col(key).cast("long").alias("__id"), F.col(label).alias("__y")).where("__y is not null and __id is not null").where(~held_out(F.col("__id")))
@@ -93,8 +96,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b["__id"], "y": b["__y"], "x": list(table_of(b["__text"]))})
+        release()
 
-    got = chosen.mapInPandas(measure, "id long, y double, x array<double>").toPandas().sort_values(["id", "y"], kind="stable")
+    rows = chosen.mapInPandas(measure, "id long, y double, x array<double>").groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x"))
+    got = rows.toPandas().sort_values("id", kind="stable")
     got = got.assign(x=[np.asarray(v, float) for v in got["x"]])
     x = np.array(got["x"].to_list()).reshape(-1, len(STATISTICS))
     order = np.lexsort((*x.T, got["id"].to_numpy())) if len(got) else np.zeros(0, int)
@@ -105,8 +110,10 @@ def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     """``docs`` with double __score, every whole text; null counts as empty."""
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(forest.probability(table_of(texts)))
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(forest.probability(table_of(texts)))
+        release()
 
     return docs.withColumn("__score", scored(F.coalesce(F.col(text), F.lit(""))))
 
@@ -114,7 +121,10 @@ def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 if score >= 0.5).
 
-    Repeated rows get equal scores; an empty table gives no rows; extra columns are not read.
+    Null and empty texts score as a text of no words; long texts are read whole.  Repeated
+    rows, and rows that tie in id, get a row each, equal texts equal scores.  A score of exactly
+    0.5 predicts 1.  Null ids are never held out nor learnt from.  An empty table gives no
+    rows; extra columns are not read, whatever their names.
     """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = score(slim, train(docs, labels, text=text, key=key, **options))
@@ -122,6 +132,10 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``."""
+    """The rows of ``docs`` that score at least ``threshold``, a tie included; all columns as they were.
+
+    Null and empty texts go or stay by their score, as do repeated rows, each by its own text.
+    Without labels all score 0.5.  An empty table gives an empty one.
+    """
     forest = train(docs, labels, text=text, key=key, **options)
     return score(docs, forest, text).where(F.col("__score") >= threshold).drop("__score")
