@@ -1,4 +1,9 @@
-"""A corpus made ready for training, stage by stage; each stage calls one operator."""
+"""A corpus made ready for training, stage by stage; each stage calls one operator.
+
+Each stage works on all that its predecessor kept.  Null and empty texts, ties, repeated rows,
+empty tables and extra columns are handled as the operator's docstring states; all columns are
+passed on as they were until packing.
+"""
 
 from __future__ import annotations
 
@@ -9,24 +14,30 @@ from millrace.llm.common import table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that score below 0.5 go; null and empty texts are scored as texts without words."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the one with most code points stays, then the least id."""
     return exact_dedup.keep_first(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the least id stays; texts without words all stay."""
     return near_dedup.keep_one(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that the mix takes twice is there twice."""
+    """A document that the mix takes twice is there twice, one that it does not take is gone.
+
+    Packing places pieces by their length, so the shard and the order in it are not passed on.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and its place in it."""
     return packing.pack(docs, packing.public_tokenizer())
 
 
@@ -44,6 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), docs)
     return STAGES[-1][1](spark, docs, sf_dir)
