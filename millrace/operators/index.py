@@ -36,16 +36,23 @@ def search_all(tf: DataFrame, terms: list[str]) -> DataFrame:
     return tf.where(F.col("term").isin(*terms)).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(set(terms))).select("doc_id")
 
 
-def bm25(tf: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) for ``queries(query_id, term)``, distinct; documents with a common term."""
-    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    total = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    asked = queries.distinct()
-    hits = tf.join(asked.select("term").distinct(), "term", "left_semi")
+def bm25(toks: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) for ``queries(query_id, term)``; documents with a common term.
+
+    ``toks`` are (doc_id, term) rows, repeats counted.  One pass makes a row for each document:
+    its length and the counts of the asked terms only, so what shuffles is what is asked.
+    """
+    asked = queries.select("query_id", "term").distinct()
+    wanted = asked.select("term").distinct().withColumn("__asked", F.lit(True))
+    marked = toks.select("doc_id", "term").join(wanted, "term", "left")
+    # terms that aren't asked are counted under null, on the map side
+    counts = marked.groupBy("doc_id", F.when(F.col("__asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
+    docs = counts.groupBy("doc_id").agg(F.sum("tf").alias("len"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("found"))
+    total = docs.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    hits = docs.select("doc_id", "len", F.explode("found").alias("f")).select("doc_id", "len", "f.term", "f.tf")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    row = total.first()
-    n, avg = row["n_docs"], row["avg_len"] or 1.0
-    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(avg))))
-    weighed = hits.join(df, "term").join(lengths, "doc_id").select("term", "doc_id", (idf * norm).alias("w"))
-    return weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    # total is one row
+    weighed = hits.join(df, "term").crossJoin(F.broadcast(total))
+    idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0))))
+    return weighed.select("term", "doc_id", (idf * norm).alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))

@@ -184,6 +184,68 @@ def remove_just_one(spark, sf_dir):
     return st.remove(_t(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", just_one=True, order=["o_orderkey"]).select("o_orderkey")
 
 
+@_add("""
+WITH t AS (SELECT o_orderstatus AS k, o_custkey AS c, o_orderkey AS id FROM orders),
+g AS (SELECT * FROM t WHERE c % 2 = 0 AND k = (SELECT min(k) FROM t WHERE c % 2 = 0) ORDER BY c, id LIMIT 1)
+SELECT k, c, id FROM t WHERE id <> (SELECT id FROM g)""")
+def remove_just_one_of_ties(spark, sf_dir):
+    t = _t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("id"))
+    return st.remove(t, F.col("c") % 2 == 0, just_one=True, order=["k"])
+
+
+@_add("SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'F') THEN 'X' ELSE o_orderstatus END AS s FROM orders")
+def update_first_only(spark, sf_dir):
+    t = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s"))
+    return st.update(t, F.col("s") == "F", {"s": F.lit("X")}, multi=False, order=["o_orderkey"])
+
+
+@_add("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'NOWHERE'")
+def update_upsert(spark, sf_dir):
+    t = _t(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+    return st.update(t, F.col("r_regionkey") == 99, {"r_name": F.lit("NOWHERE")}, insert={"r_regionkey": 99, "r_name": "NOWHERE"})
+
+
+@_add("SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'THREE' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 3 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation")
+def update_replace(spark, sf_dir):
+    t = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return st.replace(t, F.col("n_nationkey") == 3, {"n_name": "THREE"}, "n_nationkey")
+
+
+@_add("SELECT r_name AS name FROM region")
+def update_unset_rename(spark, sf_dir):
+    t = _t(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return st.rename(st.unset(t, "r_regionkey"), {"r_name": "name"})
+
+
+@_add("SELECT o_custkey AS k, o_orderkey AS seq FROM orders ORDER BY o_orderkey DESC LIMIT 50")
+def capped_collection(spark, sf_dir):
+    return st.capped(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq")), ["seq"], 50)
+
+
+@_add("SELECT r_regionkey, r_name, NULL AS n_name FROM region UNION ALL SELECT NULL, NULL, n_name FROM nation")
+def insert_rows(spark, sf_dir):
+    return st.insert(_t(spark, sf_dir, "region").select("r_regionkey", "r_name"), _t(spark, sf_dir, "nation").select("n_name"))
+
+
+@_add("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def index_duplicates(spark, sf_dir):
+    return st.duplicated(_t(spark, sf_dir, "orders"), "o_custkey")
+
+
+@_add("""
+WITH w AS (SELECT o_custkey AS k, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders)
+SELECT k, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status, arg_max(price, seq) FILTER (WHERE price IS NOT NULL) AS price FROM w GROUP BY k""")
+def upsert_in_batches(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    writes = o.select(
+        F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price")
+    )
+    table = None
+    for part in (1, 0, 1):  # the first comes again
+        table = st.folded(table, writes.where(F.col("seq") % 2 == part), "k", ["seq"])
+    return st.shown(table)
+
+
 @_add("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size + 5 ELSE p_size END AS p_size, CASE WHEN p_size > 25 THEN 'big' ELSE p_brand END AS p_brand FROM part")
 def update_inc_set(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
@@ -191,15 +253,16 @@ def update_inc_set(spark, sf_dir):
 
 
 @_add("""
-WITH a AS (SELECT vec_id, embedding[1:4] AS v FROM embeddings)
-SELECT vec_id, len(list_append(v, 9.0)) AS pushed, len(list_filter(v, lambda x: x <> v[1])) AS pulled, CAST(v[-1] AS DOUBLE) AS last, len(v[1:len(v)-1]) AS popped FROM a""")
+SELECT vec_id, len(list_append(embedding, 9.0)) AS pushed, len(list_filter(embedding, lambda x: x <> embedding[1])) AS pulled, CAST(embedding[-1] AS DOUBLE) AS last,
+       len(embedding[1:len(embedding)-1]) AS popped, CASE WHEN list_contains(embedding, embedding[2]) THEN len(embedding) ELSE len(embedding) + 1 END AS added FROM embeddings""")
 def update_array_modifiers(spark, sf_dir):
-    a = _t(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
+    a = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     v = F.col("v")
     size = lambda c: F.size(c).cast("long")
     return a.select(
-        "vec_id", size(st.push(v, 9.0)).alias("pushed"), size(F.filter(v, lambda x: x != F.element_at(v, 1))).alias("pulled"), F.element_at(v, -1).cast("double").alias("last"), size(st.pop_end(v)).alias("popped")
-    )
+        "vec_id", size(st.push(v, 9.0)).alias("pushed"), size(st.pull_where(v, lambda x: x == F.element_at(v, 1))).alias("pulled"), F.element_at(v, -1).cast("double").alias("last"),
+        size(st.pop_end(v)).alias("popped"), size(st.add_to_set(v, F.element_at(v, 2))).alias("added"),
+    )
 
 
 @_add("SELECT p_partkey, (p_size & 12) | 1 AS bits FROM part")
@@ -225,6 +288,12 @@ _FINDS = [
     ("find_nor", "orders", "o_orderkey", {"$nor": [{"o_orderstatus": "F"}, {"o_totalprice": {"$gt": 300000.0}}]}, "NOT (o_orderstatus = 'F' OR o_totalprice > 300000)"),
     ("find_and_not", "part", "p_partkey", {"$and": [{"p_size": {"$not": {"$gt": 20}}}, {"p_size": {"$gte": 5}}]}, "NOT (p_size > 20) AND p_size >= 5"),
     ("find_where", "lineitem", "l_orderkey", {"$where": "l_quantity * l_extendedprice > 1000000"}, "l_quantity * l_extendedprice > 1000000"),
+    ("find_other_class", "orders", "o_orderkey", {"$or": [{"o_orderstatus": {"$gt": 5}}, {"o_orderkey": "7"}, {"o_orderkey": {"$in": ["7", 7, 33]}}, {"o_orderstatus": {"$ne": 5}, "o_custkey": {"$lt": 40}}]}, "o_orderkey IN (7, 33) OR o_custkey < 40"),
+    ("find_empty_lists", "nation", "n_nationkey", {"$and": [], "$nor": [], "n_regionkey": {"$in": []}, "$or": [{"n_nationkey": {"$gte": 0}}]}, "false"),
+    ("find_regex_flags", "part", "p_partkey", {"p_type": re.compile("^standard .*brass$", re.I)}, "regexp_matches(p_type, '(?i)^standard .*brass$')"),
+    ("find_elem_match_operators", "embeddings", "vec_id", {"embedding": {"$elemMatch": {"$not": {"$lt": 0.3}, "$nin": [0.5], "$lte": 0.4}}}, "len(list_filter(embedding, lambda x: x >= 0.3 AND x <= 0.4)) > 0"),
+    ("find_within_box", "embeddings", "vec_id", {"embedding": {"$within": {"$box": [[0.0, -0.1], [0.2, 0.1]]}}}, "embedding[1] BETWEEN 0 AND 0.2 AND embedding[2] BETWEEN -0.1 AND 0.1"),
+    ("find_within_center", "embeddings", "vec_id", {"embedding": {"$within": {"$center": [[0.1, 0.0], 0.15]}}}, "sqrt(pow(embedding[1] - 0.1, 2) + pow(embedding[2], 2)) <= 0.15"),
     ("find_exists", "events", "event_id", {"props": {"$exists": True}}, "props IS NOT NULL"),
 ]
 
@@ -241,10 +310,10 @@ for _f in _FINDS:
     _find_query(*_f)
 
 
-@_add("SELECT vec_id FROM embeddings WHERE list_contains(embedding, (SELECT embedding[1] FROM embeddings WHERE vec_id = 0))")
+@_add("SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^a-z]+'), 'the') AND list_contains(regexp_split_to_array(lower(text), '[^a-z]+'), 'and')")
 def find_all(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings")
-    return fd.find(e, {"embedding": {"$all": [e.where("vec_id = 0").select(F.element_at("embedding", 1)).first()[0]]}}, {"vec_id": 1}) if not e.where("vec_id = 0").isEmpty() else e.select("vec_id").limit(0)
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), "[^a-z]+").alias("words"))
+    return fd.find(d, {"words": {"$all": ["the", "and"]}}, {"doc_id": 1})
 
 
 @_add("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50")
@@ -386,7 +455,7 @@ def bm25_top5(spark, sf_dir):
     from pyspark.sql import Window
 
     asked = ix.tokens(_t(spark, sf_dir, "benchmark"), key="item_id").select(F.col("doc_id").alias("query_id"), "term")
-    s = ix.bm25(_tf(spark, sf_dir), asked).withColumn("score", F.round("score", 6))
+    s = ix.bm25(ix.tokens(_t(spark, sf_dir, "documents")), asked).withColumn("score", F.round("score", 6))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("r", F.row_number().over(best)).where("r <= 5").drop("r")
 
