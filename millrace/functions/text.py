@@ -55,8 +55,62 @@ def transcode(encoding: str):
 
 
 def looks_ascii(c: Column) -> Column:
-    """Only printable ASCII, escape and the usual white space and controls."""
-    return c.rlike(r"\A[\x07-\x0D\x1B\x20-\x7E]*\z")
+    """Only printable ASCII, escape and the usual white space and controls (no vertical tab)."""
+    return c.rlike(r"\A[\x07-\x0A\x0C\x0D\x1B\x20-\x7E]*\z")
+
+
+def _bytes_like(b: Column, more: str) -> Column:
+    return F.decode(b, "ISO-8859-1").rlike(r"\A[\x07-\x0A\x0C\x0D\x1B\x20-\x7E\x85" + more + r"]*\z")
+
+
+def looks_latin1(b: Column) -> Column:
+    """Bytes of text in ISO 8859: the same, next line, and 0xA0 to 0xFF."""
+    return _bytes_like(b, r"\xA0-\xFF")
+
+
+def looks_extended(b: Column) -> Column:
+    """Bytes of text in an extended code page: 0x80 to 0x9F too."""
+    return _bytes_like(b, r"\x80-\xFF")
+
+
+def is_valid_utf8(b: Column) -> Column:
+    return F.is_valid_utf8(b.cast("string"))
+
+
+# integers and times
+
+
+def int_read(b: Column, width: int = 8) -> Column:
+    """The signed big-endian integer of the first ``width`` bytes (1 to 8)."""
+    unsigned = F.conv(F.hex(F.substring(b, 1, width)), 16, 10).cast("decimal(20,0)")
+    top = F.lit(2 ** (8 * width - 1)).cast("decimal(20,0)")
+    return F.when(unsigned >= top, unsigned - F.lit(2 ** (8 * width)).cast("decimal(20,0)")).otherwise(unsigned).cast("long")
+
+
+def int_put(n: Column, width: int = 8) -> Column:
+    """``width`` big-endian bytes of an integer, negative ones as two's complement."""
+    return F.unhex(F.right(F.lpad(F.hex(n.cast("long")), 16, "0"), F.lit(2 * width)))
+
+
+def clock(ts: Column) -> Column:
+    """Hours, minutes and seconds without leading zeros."""
+    return F.concat_ws(":", F.hour(ts), F.minute(ts), F.second(ts))
+
+
+def whole_seconds(usec: Column) -> Column:
+    """Whole seconds of a time in microseconds, towards zero."""
+    return ((usec - usec % 1_000_000) / 1_000_000).cast("long")
+
+
+def round_seconds(usec: Column) -> Column:
+    return usec - usec % F.lit(1_000_000)
+
+
+def format_timediff(usec: Column) -> Column:
+    """Up to ten seconds seconds and all microseconds, below a minute seconds, else hours and minutes."""
+    s = whole_seconds(usec)
+    minutes, hours = F.pmod(((s - s % 60) / 60).cast("long"), F.lit(60)), ((s - s % 3600) / 3600).cast("long")
+    return F.when(s <= 10, F.format_string("%d s %d us", s, usec)).when(s < 60, F.format_string("%d s", s)).otherwise(F.format_string("%d h %d m", hours, minutes))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -95,20 +149,32 @@ def drop_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x09\x0E-\x1F\x7F]", "")
 
 
-def _scaled(value: Column, labels: list[str]) -> Column:
-    out = F.format_string("%.2f " + labels[-1], value / F.lit(1000.0 ** (len(labels) - 1)))
-    for i in range(len(labels) - 2, -1, -1):
-        out = F.when(value / F.lit(1000.0**i) <= 1000, F.format_string("%.2f " + labels[i], value / F.lit(1000.0**i))).otherwise(out)
-    return out
+def _scaled(labels: list[str]):
+    @F.pandas_udf(T.StringType())
+    def run(values: pd.Series) -> pd.Series:
+        def one(v: float) -> str:
+            i = 0
+            while v > 1000 and i < len(labels) - 1:
+                v, i = v / 1000, i + 1
+            return f"{v:.2f} {labels[i]}"
+
+        return values.map(one, na_action="ignore")
+
+    return run
+
+
+#: Units, smallest first (fixed values).
+_BYTES = ["iB", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"]
+_SPEED = ["KB/s", "MB/s", "GB/s", "TB/s"]
 
 
 def fmt_bytes(c: Column) -> Column:
-    """Two decimals and a unit; a half in the third decimal rounds up."""
-    return _scaled(c.cast("double"), ["iB", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"])
+    """Two decimals and a unit, rounded as C's printf does: by the exact binary value (Java's format rounds the decimal form)."""
+    return _scaled(_BYTES)(c.cast("double"))
 
 
 def fmt_kbytes_s(c: Column) -> Column:
-    return _scaled(c.cast("double"), ["KB/s", "MB/s", "GB/s", "TB/s"])
+    return _scaled(_SPEED)(c.cast("double"))
 
 
 def hex_dump(c: Column) -> Column:
@@ -126,16 +192,27 @@ def shard_path(key: Column) -> Column:
 _LINE = r"^([^\x00-\x20()<>@,;:\\\"/\[\]?={}\x7F]+):(.*)$"
 
 
-def http_headers(c: Column) -> Column:
-    """MAP of header names to values, which keep their leading space; the last of equal names wins."""
+def http_headers(c: Column, mode: str = "documented") -> Column:
+    """MAP of header names to values, which keep their leading space; the last of equal names wins.
+
+    ``observed`` leaves out a last line that no line end follows.
+    """
+    c = F.regexp_replace(c, r"[^\r\n]+\z", "") if mode == "observed" else c
     lines = F.filter(F.split(c, r"[\r\n]+"), lambda x: x.rlike(_LINE))
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, _LINE, 1).alias("k"), F.regexp_extract(x, _LINE, 2).alias("v")))
     last = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])) == 0)
     return F.map_from_entries(last)
 
 
-def content_type(value: Column) -> Column:
-    """The class of a Content-Type value, by name."""
+def content_type(value: Column, mode: str = "documented") -> Column:
+    """The class of a Content-Type value, by name.
+
+    ``observed`` takes all that is neither HTML nor plain text, and does not begin with the
+    XHTML type, for XHTML.
+    """
+    if mode == "observed":
+        other = F.when(value.startswith("application/xhtml+xml"), "UNRECOGNIZED").otherwise("XHTML")
+        return F.when(value.isNotNull(), F.when(value.contains("text/html"), "TEXT_HTML").when(value.contains("text/plain"), "TEXT_PLAIN").otherwise(other))
     out = F.lit("UNRECOGNIZED")
     kinds = [("text/html", "TEXT_HTML"), ("text/plain", "TEXT_PLAIN"), ("application/xhtml+xml", "XHTML"), ("application/pdf", "APPLICATION_PDF"), ("application/rss+xml", "RSS_XML"), ("application/atom+xml", "ATOM_XML")]
     for text, name in reversed(kinds):

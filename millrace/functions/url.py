@@ -7,6 +7,7 @@ Scalar cores work on Python strings; the Column functions wrap them in Arrow-bat
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -24,6 +25,8 @@ _HEX = re.compile(r"%([0-9A-Fa-f]{2})")
 UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 #: Characters with a meaning in some part of a URL (RFC 3986, fixed values).
 RESERVED = frozenset(":/?#[]@!$&'()*+,;=")
+#: Characters that each kind of escaping encodes beside the unsafe ones (fixed values).
+MASKS = {"RESERVED": frozenset("#$&+,/:;=?@[]"), "AUTH": frozenset("#/?"), "PATH": frozenset("#?"), "QUERY": frozenset("#"), "FRAGMENT": frozenset()}
 #: Printable characters that a URL never holds bare (fixed values).
 UNSAFE = frozenset(' "<>\\^`{|}')
 _DEFAULT_PORTS = {"http": 80, "https": 443, "ftp": 21}
@@ -108,7 +111,7 @@ def escape(s: str, also: frozenset = frozenset()) -> str:
 
 
 def escape_reserved_unsafe(s: str) -> str:
-    return escape(s, RESERVED)
+    return escape(s, MASKS["RESERVED"])
 
 
 def unescape(s: str, only: frozenset | None = None) -> str:
@@ -119,6 +122,64 @@ def unescape(s: str, only: frozenset | None = None) -> str:
     return raw.decode("utf-8", "replace")
 
 
+def unescape_not(s: str, kept: frozenset) -> str:
+    """Decode escapes but those of ``kept`` and of what a URL may not hold bare; those get upper-case digits."""
+
+    def one(m):
+        c = chr(int(m[1], 16))
+        return m[0].upper() if c in kept or c in UNSAFE or c == "%" or not " " < c < "\x7f" else c
+
+    return _HEX.sub(one, s)
+
+
+def unescape_safe(s: str) -> str:
+    """Decode escapes of characters that never need one."""
+    return unescape(s, UNRESERVED)
+
+
+_V4 = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)")
+_FUTURE = re.compile(r"v[0-9A-Fa-f]+\.[A-Za-z0-9._~!$&'()*+,;=:-]+")
+
+
+def valid_host(host: str) -> bool:
+    """A name, an IPv4 or IPv6 address, or an address of a future kind."""
+    host = unescape_safe(host)
+    if re.fullmatch(r"[\d.]+", host) and host.count(".") == 3:
+        return bool(_V4.fullmatch(host))
+    if _NAME.fullmatch(host) or (host and not host.isascii() and not re.search(r"[\s/?#:@\[\]]", host)):
+        return True
+    if _FUTURE.fullmatch(host):
+        return True
+    try:
+        ipaddress.IPv6Address(host)
+    except ValueError:
+        return False
+    return True
+
+
+def syntax_ok(u: Url) -> bool:
+    """Could the parts stand in one URL text?"""
+    if u.has_authority and u.path and not u.path.startswith("/"):
+        return False
+    if re.search("[:/?#]", u.scheme) or re.search("[/?#]", u.host) or re.search("[?#]", u.path) or "#" in u.query:
+        return False
+    return not u.has_authority or not u.host or valid_host(u.host)
+
+
+def parts_ok(u: Column) -> Column:
+    """The same for a column of parts, by JVM expressions (hosts by their characters)."""
+    path = ~(u["has_authority"] & (u["path"] != "") & ~u["path"].startswith("/"))
+    marks = ~(u["scheme"].rlike("[:/?#]") | u["host"].rlike(r"[/?#\s]") | u["path"].rlike("[?#]") | u["query"].contains("#"))
+    return F.coalesce(path & marks, F.lit(False))
+
+
+def url_text(u: Column) -> Column:
+    """The text of a column of parts."""
+    authority = F.concat(F.when(u["userinfo"] != "", F.concat(u["userinfo"], F.lit("@"))).otherwise(""), u["host"], F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise(""))
+    scheme = F.when(u["scheme"] != "", F.concat(u["scheme"], F.lit(":"))).otherwise("")
+    return F.concat(scheme, F.when(u["has_authority"], F.concat(F.lit("//"), authority)).otherwise(""), u["path"], u["query"], u["fragment"])
+
+
 def normal_escapes(s: str) -> str:
     """Unreserved characters bare, all other escapes in upper case."""
     return _HEX.sub(lambda m: c if (c := chr(int(m[1], 16))) in UNRESERVED else m[0].upper(), s)
@@ -209,6 +270,17 @@ def url_escape(s: pd.Series) -> pd.Series:
     return s.map(escape, na_action="ignore")
 
 
+def url_escape_mask(mask: str):
+    """A Column function that also escapes the characters of the mask (RESERVED, AUTH, PATH, QUERY, FRAGMENT)."""
+    also = MASKS[mask]
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: escape(x, also), na_action="ignore")
+
+    return run
+
+
 def url_equals(a: Column, b: Column) -> Column:
     return url_normalize(a) == url_normalize(b)
 

@@ -6,8 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.functions import text as tx, url as ul
-from millrace.operators import find as fd, frontier as fr, index as ix, links as lk, store as st
+from millrace.functions import documents as dc, paths as pt, stem as sm, text as tx, url as ul
+from millrace.operators import crawl as cr, find as fd, frontier as fr, index as ix, links as lk, store as st
+from millrace.sources import archive as ar
 from millrace.streaming.crawl import throughput
 
 _QUERIES: dict = {}
@@ -378,15 +379,15 @@ def histogram_exponential(spark, sf_dir):
 
 # text functions
 
-_FMT = "CASE WHEN {v} <= 1000 THEN printf('%.2f {a}', {v}) WHEN {v} / 1000.0 <= 1000 THEN printf('%.2f {b}', {v} / 1000.0) ELSE printf('%.2f {c}', {v} / 1000000.0) END"
+_FMT = "CASE WHEN {v} <= 1000 THEN printf('%.2f {a}', {v}) WHEN {v} / 1000.0 <= 1000 THEN printf('%.2f {b}', {v} / 1000.0) ELSE printf('%.2f {c}', {v} / 1000.0 / 1000.0) END"
 
 
-@_add("SELECT o_orderkey, " + _FMT.format(v="CAST(o_orderkey * 40 AS DOUBLE)", a="iB", b="KiB", c="MiB") + " AS size FROM orders")
+@_add("SELECT o_orderkey, " + _FMT.format(v="CAST(o_orderkey * 37 + o_orderkey % 5 AS DOUBLE)", a="iB", b="KiB", c="MiB") + " AS size FROM orders")
 def fmt_bytes(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").select("o_orderkey", tx.fmt_bytes(F.col("o_orderkey") * 40).alias("size"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", tx.fmt_bytes(F.col("o_orderkey") * 37 + F.col("o_orderkey") % 5).alias("size"))
 
 
-@_add("SELECT doc_id, regexp_full_match(text, '[\\x07-\\x0D\\x1B\\x20-\\x7E]*') AS ascii FROM documents")
+@_add("SELECT doc_id, regexp_full_match(text, '[\\x07-\\x0A\\x0C\\x0D\\x1B\\x20-\\x7E]*') AS ascii FROM documents")
 def looks_ascii(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", tx.looks_ascii(F.col("text")).alias("ascii"))
 
@@ -410,9 +411,10 @@ def http_headers(spark, sf_dir):
     return h.select("page_id", F.trim(F.col("h")["X-Media"]).alias("media"), tx.content_type(F.col("h")["Content-Type"]).alias("kind"), tx.charset(F.col("h")["Content-Type"]).alias("charset"))
 
 
-@_add(r"SELECT page_id, NOT starts_with(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/fr/') AS allowed FROM pages")
+@_add(r"WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages) SELECT page_id, NOT starts_with(path, '/' || chr(CAST(97 + page_id % 26 AS INTEGER))) AS allowed FROM p")
 def robots_decisions(spark, sf_dir):
-    rules = F.lit("User-agent: millrace\nDisallow: /fr/\n\nUser-agent: *\nDisallow: /\n")
+    letter = F.chr(F.lit(97) + F.col("page_id") % 26)
+    rules = F.concat(F.lit("User-agent: millrace\nDisallow: /"), letter, F.lit("\n\nUser-agent: *\nDisallow: /\n"))
     return _t(spark, sf_dir, "pages").select("page_id", tx.robots_allowed("millrace")(rules, ul.url_fast(F.col("url"))["path"]).alias("allowed"))
 
 
@@ -460,6 +462,252 @@ def bm25_top5(spark, sf_dir):
     return s.withColumn("r", F.row_number().over(best)).where("r <= 5").drop("r")
 
 
+# paths and URL texts
+
+_PATH = "regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"
+_SEGMENTS = f"list_filter(string_split({_PATH}, '/'), lambda x: x <> '')"
+
+
+def _path(df: DataFrame):
+    return df.select("page_id", "url", pt.path_parts(ul.url_fast(F.col("url"))["path"]).alias("p"))
+
+
+@_add(f"SELECT page_id, CAST(len({_SEGMENTS}) AS INTEGER) AS depth, starts_with({_PATH}, '/') AS abs, ends_with({_PATH}, '/') AS dir FROM pages")
+def path_depth(spark, sf_dir):
+    return _path(_t(spark, sf_dir, "pages")).select("page_id", pt.depth(F.col("p")).alias("depth"), "p.abs", "p.dir")
+
+
+@_add(f"WITH s AS (SELECT page_id, {_SEGMENTS} AS s, ends_with({_PATH}, '/') AS d FROM pages), u AS (SELECT page_id, s[1:len(s) - CASE WHEN d THEN 1 ELSE 2 END] AS s FROM s) SELECT page_id, '/' || array_to_string(s, '/') || CASE WHEN len(s) > 0 THEN '/' ELSE '' END AS up FROM u")
+def path_updir(spark, sf_dir):
+    return _path(_t(spark, sf_dir, "pages")).select("page_id", pt.path_text(pt.updir(F.col("p"))).alias("up"))
+
+
+@_add(f"WITH s AS (SELECT page_id, {_SEGMENTS} AS s, ends_with({_PATH}, '/') AS d FROM pages) SELECT page_id, '/' || array_to_string(list_concat(CASE WHEN d THEN s ELSE s[1:len(s) - 1] END, ['x', 'y.html']), '/') AS merged FROM s")
+def path_merge(spark, sf_dir):
+    ref = pt.path_parts(F.lit("./q/../x//y.html"))
+    return _path(_t(spark, sf_dir, "pages")).select("page_id", pt.path_text(pt.path_merge(F.col("p"), ref)).alias("merged"))
+
+
+@_add("SELECT page_id, url, true AS ok FROM pages")
+def url_text_round_trip(spark, sf_dir):
+    u = _t(spark, sf_dir, "pages").select("page_id", ul.url_parts("url").alias("u"))
+    return u.select("page_id", ul.url_text(F.col("u")).alias("url"), ul.parts_ok(F.col("u")).alias("ok"))
+
+
+@_add("SELECT page_id, page_id % 4 = 0 AS ok FROM pages")
+def url_syntax_ok(spark, sf_dir):
+    u = _t(spark, sf_dir, "pages").select("page_id", ul.url_parts("url").alias("u"))
+    k = F.col("page_id") % 4
+    spoilt = F.when(k == 1, F.col("u").withField("path", F.lit("no/slash"))).when(k == 2, F.col("u").withField("host", F.lit("a/b"))).when(k == 3, F.col("u").withField("query", F.lit("?a#b"))).otherwise(F.col("u"))
+    return u.select("page_id", ul.parts_ok(spoilt).alias("ok"))
+
+
+@_add("SELECT p_partkey, replace(replace(p_name, ' ', '%20'), 'e', 'e') || '%3F' AS path, replace(p_name, ' ', '%20') || '%3F%2F' AS auth, replace(p_name, ' ', '%20') || '?/' AS plain, p_name AS back FROM part")
+def url_escape_masks(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    n = F.col("p_name")
+    return p.select(
+        "p_partkey", ul.url_escape_mask("PATH")(F.concat(n, F.lit("?"))).alias("path"), ul.url_escape_mask("AUTH")(F.concat(n, F.lit("?/"))).alias("auth"),
+        ul.url_escape(F.concat(n, F.lit("?/"))).alias("plain"), ul.url_unescape(ul.url_escape(n)).alias("back"),
+    )
+
+
+# crawl steps
+
+_HOST = "regexp_extract(url, '^[^:]+://([^/?#]*)', 1)"
+
+
+@_add(f"""
+WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages)
+SELECT page_id, host, CASE length(host) % 4 WHEN 0 THEN true WHEN 1 THEN NOT starts_with(path, '/a') WHEN 2 THEN starts_with(path, '/e') OR NOT starts_with(path, '/') ELSE true END AS allowed FROM u""")
+def robots_admission(spark, sf_dir):
+    u = _t(spark, sf_dir, "pages").select("page_id", ul.url_fast(F.col("url"))["host"].alias("host"), ul.url_fast(F.col("url"))["path"].alias("path"))
+    k = F.length("host") % 4
+    text = F.when(k == 1, "User-agent: other\nDisallow: /\n\nUser-Agent: mill\nDisallow: /a # not these\nCrawl-delay: 3\n").when(k == 2, "User-agent: *\nAllow: /e\nDisallow: /\n").when(k == 3, "<html>no rules</html>")
+    robots = u.select("host").distinct().select("host", text.alias("robots"))
+    return cr.admitted(u, robots, "millrace").select("page_id", "host", "allowed")
+
+
+@_add("SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE 406 END AS http_code, page_id % 4 < 2 AS wanted FROM pages")
+def acceptance_406(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("TEXT_HTML"), F.lit("APPLICATION_PDF"), F.lit("UNRECOGNIZED"), F.lit(None).cast("string")), (F.col("page_id") % 4 + 1).cast("int"))
+    return cr.acceptance(_t(spark, sf_dir, "pages").select("page_id", kind.alias("content_type"))).select("page_id", "http_code", "wanted")
+
+
+@_add("""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'tag' || page_id END AS if_none_match,
+       CASE WHEN page_id % 3 = 1 THEN strftime(to_timestamp(page_id * 86399 + 1) AT TIME ZONE 'UTC', '%a, %d %b %Y %H:%M:%S GMT') END AS if_modified_since FROM pages""")
+def conditional_get(spark, sf_dir):
+    k = F.col("page_id") % 3
+    docs = _t(spark, sf_dir, "pages").select("page_id", F.when(k == 0, F.concat(F.lit("tag"), "page_id")).when(k == 1, "").alias("etag"), F.when(k != 2, F.col("page_id") * 86399 + 1).otherwise(-1).alias("modified"))
+    return cr.conditional(docs).select("page_id", "if_none_match", "if_modified_since")
+
+
+@_add("""
+WITH asked AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url || '/none' ELSE url END AS url FROM pages),
+there AS (SELECT url, any_value(html) AS html FROM pages GROUP BY url)
+SELECT page_id, CASE WHEN html IS NULL THEN 404 ELSE 200 END AS http_code, CASE WHEN strlen(html) > 2000 THEN 23 ELSE 0 END AS fetch_code, CASE WHEN strlen(html) <= 2000 THEN md5(html) END AS md5
+FROM asked LEFT JOIN there USING (url)""")
+def fetch_offline(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    asked = p.select("page_id", F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("/none"))).otherwise(F.col("url")).alias("url"))
+    there = p.groupBy("url").agg(F.encode(F.max("html"), "UTF-8").alias("content"))
+    return cr.fetched(asked, there, largest=2000).select("page_id", "http_code", "fetch_code", F.md5("content").alias("md5"))
+
+
+@_add("SELECT page_id, 'ua: a' || page_id || chr(10) || 'ua: b' || chr(10) || 'DISALLOW /x' || page_id || chr(10) || 'ALLOW /' AS dump FROM pages")
+def robots_dump(spark, sf_dir):
+    text = F.concat(F.lit("User-agent: a"), "page_id", F.lit("\nUser-agent: b\nDisallow: /x"), "page_id", F.lit("\nAllow: /\n"))
+    return _t(spark, sf_dir, "pages").select("page_id", cr.robots_dump(tx.robots_parse(text)).alias("dump"))
+
+
+@_add("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def reference_resolved(spark, sf_dir):
+    return cr.resolved(_t(spark, sf_dir, "orders"), "o_custkey", _t(spark, sf_dir, "customer"), "c_custkey").select("o_orderkey", F.col("ref_c_name").alias("c_name"))
+
+
+@_add("SELECT CASE WHEN page_id % 3 = 0 THEN 'DONE' WHEN page_id % 3 = 1 THEN 'ROBOTS' ELSE 'NEXT' END AS stage, count(*) AS n FROM pages GROUP BY 1")
+def url_stages(spark, sf_dir):
+    k = F.col("page_id") % 3
+    docs = _t(spark, sf_dir, "pages").select(F.when(k != 1, k == 0).alias("allowed"), F.lit(True).alias("wanted"), "html", F.lit(200).alias("http_code")).withColumnRenamed("html", "content")
+    return docs.groupBy(cr.stage_of(docs).alias("stage")).agg(F.count("*").alias("n"))
+
+
+@_add("SELECT page_id, CAST(ceil(strlen(html) / 1000.0) AS BIGINT) AS chunks, CAST(strlen(html) AS BIGINT) AS bytes FROM pages WHERE page_id % 2 = 0")
+def blob_list(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    chunks = ar.chunked(p, "page_id", "content", 1000)
+    return ar.listed(ar.removed(chunks, p.where("page_id % 2 = 1"), "page_id"), "page_id")
+
+
+@_add("SELECT page_id, md5(html) AS md5 FROM pages")
+def blob_chunks_assembled(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    return ar.assembled(ar.chunked(p, "page_id", "content", 1000), "page_id").select("page_id", F.md5("content").alias("md5"))
+
+
+@_add("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE url END AS url FROM pages WHERE page_id % 5 <> 0")
+def blob_set_get_erase(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", "url")
+    table = cr.blob_set(p, p.where("page_id % 3 = 0").select("page_id", F.lit("new").alias("url")), "page_id")
+    table = cr.blob_erase(table, p.where("page_id % 5 = 0"), "page_id")
+    return cr.blob_get(table, table.select("page_id"), "page_id")
+
+
+# bytes, integers, times, documents
+
+_BYTE = "(doc_id % 256)"
+
+
+@_add(f"""
+SELECT doc_id, {_BYTE} IN (7, 8, 9, 10, 12, 13, 27, 133) OR {_BYTE} BETWEEN 32 AND 126 OR {_BYTE} >= 160 AS latin1,
+       {_BYTE} IN (7, 8, 9, 10, 12, 13, 27) OR {_BYTE} BETWEEN 32 AND 126 OR {_BYTE} >= 128 AS extended, {_BYTE} < 128 AS utf8 FROM documents""")
+def byte_sniffs(spark, sf_dir):
+    raw = F.unhex(F.lpad(F.hex(F.col("doc_id") % 256), 2, "0"))
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.looks_latin1(raw).alias("latin1"), tx.looks_extended(raw).alias("extended"), tx.is_valid_utf8(raw).alias("utf8"))
+
+
+@_add("SELECT o_orderkey, printf('%08X', (o_orderkey * 7919 - 20000) & 4294967295) AS put, o_orderkey * 7919 - 20000 AS back FROM orders")
+def integers_big_endian(spark, sf_dir):
+    n = F.col("o_orderkey") * 7919 - 20000
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.hex(tx.int_put(n, 4)).alias("put"), tx.int_read(tx.int_put(n, 4), 4).alias("back"))
+
+
+@_add("SELECT event_id, hour(ts) || ':' || minute(ts) || ':' || second(ts) AS clock FROM events")
+def event_clock(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", tx.clock(F.col("ts")).alias("clock"))
+
+
+@_add("""
+WITH t AS (SELECT o_orderkey, CAST(o_orderkey * 400009 AS BIGINT) AS u, CAST(o_orderkey * 400009 // 1000000 AS BIGINT) AS s FROM orders)
+SELECT o_orderkey, CASE WHEN s <= 10 THEN s || ' s ' || u || ' us' WHEN s < 60 THEN s || ' s' ELSE s // 3600 || ' h ' || (s // 60) % 60 || ' m' END AS shown, u - u % 1000000 AS whole FROM t""")
+def time_differences(spark, sf_dir):
+    u = F.col("o_orderkey") * 400009
+    return _t(spark, sf_dir, "orders").select("o_orderkey", tx.format_timediff(u).alias("shown"), tx.round_seconds(u).alias("whole"))
+
+
+@_add("""
+SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderdate":{"$date":' || epoch_ms(CAST(o_orderdate AS TIMESTAMP)) || '}}' AS json FROM orders""")
+def json_strict(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return o.select("o_orderkey", dc.json_out(o, "o_orderkey", "o_orderstatus", "o_orderdate").alias("json"))
+
+
+@_add("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN '{"a":' || o_orderkey || ',"$b":["x",{"$date":' || o_custkey || '}],"r":{"$regex":"q+","$options":"i"},"n":null}' END AS json FROM orders""")
+def json_relaxed(spark, sf_dir):
+    text = F.concat(F.lit("{ a: "), "o_orderkey", F.lit(", $b: ['x', new Date("), "o_custkey", F.lit(")], 'r': /q+/i, n: undefined "), F.when(F.col("o_orderkey") % 7 != 0, "}").otherwise(""))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", dc.strict_json(text).alias("json"))
+
+
+@_add("""SELECT o_orderkey, hex(encode('d1:ki' || o_orderkey || 'e1:sl' || length(o_orderstatus) || ':' || o_orderstatus || 'ee')) AS hex, '{"k":' || o_orderkey || ',"s":["' || o_orderstatus || '"]}' AS back FROM orders""")
+def bencode(spark, sf_dir):
+    text = F.concat(F.lit('{"s":["'), "o_orderstatus", F.lit('"],"k":'), "o_orderkey", F.lit("}"))
+    coded = _t(spark, sf_dir, "orders").select("o_orderkey", dc.json_to_bencode(text).alias("b"))
+    return coded.select("o_orderkey", F.hex("b").alias("hex"), dc.bencode_to_json("b").alias("back"))
+
+
+@_add("SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN 10 WHEN 1 THEN 15 WHEN 2 THEN 20 WHEN 3 THEN 25 ELSE 40 END AS INTEGER) AS rank, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey AS DOUBLE) END AS number FROM orders")
+def class_ranks(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    text = F.when(k == 0, F.col("o_orderkey").cast("string")).when(k == 1, '"x"').when(k == 2, '{"a":1}').when(k == 3, "[1]").otherwise("true")
+    keyed = _t(spark, sf_dir, "orders").select("o_orderkey", dc.sort_key(F.parse_json(text)).alias("k"))
+    return keyed.select("o_orderkey", "k.rank", "k.number")
+
+
+@_add('SELECT n_name AS "n.name", n_regionkey AS "n.region.key", n_nationkey AS id FROM nation')
+def nested_and_dotted(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("n.name"), F.col("n_regionkey").alias("n.region.key"), F.col("n_nationkey").alias("id"))
+    return dc.dotted(dc.nested(n))
+
+
+@_add("SELECT r_name, CAST(NULL AS INTEGER) AS extra FROM region")
+def field_sets(spark, sf_dir):
+    return dc.only_fields(dc.with_fields(_t(spark, sf_dir, "region"), {"extra": "int", "r_name": "string"}), "r_name", "extra")
+
+
+@_add("SELECT page_id, page_id % 2 = 0 AS has_last, CASE WHEN page_id % 3 = 0 THEN 'UNRECOGNIZED' WHEN page_id % 3 = 1 THEN 'XHTML' ELSE 'TEXT_PLAIN' END AS kind FROM pages")
+def http_headers_observed(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    k = F.col("page_id") % 3
+    value = F.when(k == 0, "application/xhtml+xml").when(k == 1, "image/png").otherwise("text/plain")
+    raw = F.concat(F.lit("Content-Type:"), value, F.lit("\r\nLast: "), "page_id", F.when(F.col("page_id") % 2 == 0, "\r\n").otherwise(""))
+    h = p.select("page_id", tx.http_headers(raw, "observed").alias("h"))
+    return h.select("page_id", F.col("h")["Last"].isNotNull().alias("has_last"), tx.content_type(F.col("h")["Content-Type"], "observed").alias("kind"))
+
+
+# stems: words and stems as published with the algorithms (fixed values)
+_STEMS = """
+en consign consign|en consigned consign|en consistency consist|en consolation consol|en consolatory consolatori|en conspiracy conspiraci|en constables constabl|en knackeries knackeri|en knives knive
+en kneeling kneel|en knitted knit|en knockers knocker|en dying die|en news news|en inning inning|en generously generous|en happy happi|en greately great
+porter caresses caress|porter ponies poni|porter ties ti|porter feed feed|porter agreed agre|porter plastered plaster|porter motoring motor|porter conflated conflat|porter hopping hop|porter falling fall
+porter filing file|porter relational relat|porter conditional condit|porter digitizer digit|porter radicalli radic|porter vietnamization vietnam|porter operator oper|porter formaliti formal
+porter sensibiliti sensibl|porter triplicate triplic|porter electrical electr|porter goodness good|porter airliner airlin|porter adjustment adjust|porter adoption adopt|porter probate probat|porter rate rate
+porter controll control|porter roll roll|de aufeinander aufeinand|de kategorie kategori|de kategorien kategori|de katze katz|de häuser haus|fr continu continu|fr continuellement continuel|fr continuons continuon
+fr majestueusement majestu|fr majorité major|fr malheureux malheur|fr malheureusement malheur|es cheque chequ|es chicharrones chicharron|es torear tor|es toreado tor|es toreros torer|es torneo torne
+es tornaron torn|pt boataria boat|pt quilométricas quilométr|pt químicas químic|it abbandonata abbandon|it abbandono abband|it pronuncerà pronunc|nl lichamelijkheden licham|nl opgingen opging
+nl opheffen opheff|sv jaktkarlar jaktkarl|sv klockor klock|no havnedistrikt havnedistrikt|da undersøgelsen undersøg|ru важнейшими важн|ru важничал важнича|ru падаль падал|ru пакетов пакет|fi edeltäjien edeltäj
+hu babakocsijáért babakocs|ro absolută absol|ro ocolească ocol|xx unchanged unchanged
+"""
+
+
+def _stem_rows() -> list[tuple[str, ...]]:
+    return [tuple(x.split()) for line in _STEMS.strip().splitlines() for x in line.split("|")]
+
+
+@_add("SELECT * FROM (VALUES " + ", ".join(f"('{l}', '{w}', '{t}')" for l, w, t in _stem_rows()) + ") AS v(lang, term, stem)")
+def stem_words(spark, sf_dir):
+    words = spark.createDataFrame([r[:2] for r in _stem_rows()], "lang string, term string")
+    return sm.stemmed(words).select("lang", "term", "stem")
+
+
+@_add()
+def stem_documents(spark, sf_dir):
+    """Document frequency of stems, by language."""
+    d = _t(spark, sf_dir, "documents")
+    words = ix.tokens(d).select("doc_id", "term").distinct().join(d.select("doc_id", "lang").distinct(), "doc_id")
+    return sm.stemmed(words).groupBy("lang", "stem").agg(F.countDistinct("doc_id").alias("df"))
+
+
 # streaming twins
 
 

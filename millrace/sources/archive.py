@@ -28,3 +28,13 @@ def assembled(chunks: DataFrame, key: str) -> DataFrame:
 def sharded(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with where each is kept; write with partitionBy("shard")."""
     return rows.withColumn("path", shard_path(F.col(key))).withColumn("shard", F.substring(F.sha1(F.col(key).cast("binary")), 1, 2))
+
+
+def listed(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, chunks, bytes) of every blob, without its content."""
+    return chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum(F.octet_length("data")).cast("long").alias("bytes"))
+
+
+def removed(chunks: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The chunks without those of ``keys``."""
+    return chunks.join(keys.select(key), key, "left_anti")
