@@ -149,31 +149,6 @@ def test_chunks_cover_texts():
         assert sum(x["length"] for x in c) == len(t or "") and [x["start"] for x in c] == [sum(y["length"] for y in c[:i]) for i in range(len(c))]
 
 
-def test_embedding_dedup(spark):
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((300, 16))
-    for i in range(60):
-        x[i] = x[i % 3] + rng.standard_normal(16) * 0.02
-    for i in range(60, 120):
-        x[i] = x[200 + i % 20] + rng.standard_normal(16) * 0.18
-    x = x.astype(np.float32)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, []), (904, [1.0, 2.0])]
-    got = {r["vec_id"]: r for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), sample_rows=64).collect()}
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    s = u @ u.T >= 0.95
-    np.fill_diagonal(s, False)
-    links = sum(got[i]["n_links"] for i in range(300))
-    assert all(got[i]["n_links"] <= s[i].sum() for i in range(300)) and links >= 0.97 * s.sum()
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904))
-
-
-def test_embedding_dedup_of_several_lengths(spark):
-    rows = [(i, [1.0, float(i // 2) * 9, 0.5]) for i in range(6)] + [(10, [1.0, 2.0]), (11, [1.0, 2.0]), (12, [-1.0, 2.0]), (13, [1.0]), (14, None)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    assert got[10] == (1, 10, True) and got[11] == (1, 10, False) and got[0] == (1, 0, True) and got[1] == (1, 0, False)
-    assert len(got) == 11 and all(got[i] == (0, i, True) for i in (12, 13, 14))
-
-
 def test_mixing(docs):
     got = mixing.mix_report(docs).collect()
     assert len(got) == docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
