@@ -12,6 +12,7 @@ other texts go through ``tokenizers``.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 
@@ -24,12 +25,9 @@ class ByteBpe:
     """ids and character offsets of whole texts."""
 
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None, special_as_text: bool = False):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self._tok = Tokenizer.from_file(json_path)
-        self._tok.encode_special_tokens = special_as_text
-        added = [] if special_as_text else [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._path, self._as_text, self._made = json_path, special_as_text, None
+        with open(json_path, encoding="utf-8") as f:
+            added = [] if special_as_text else [t["content"] for t in json.load(f).get("added_tokens", [])]
         # an added token may take in white space around it, so its presence alone decides
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._quick = None
@@ -43,6 +41,17 @@ class ByteBpe:
             for token, i in ranks.items():
                 self._width[i] = len(token)
 
+    @property
+    def _tok(self):
+        """The whole tokenizer, made when a text first needs it (26 MB)."""
+        if self._made is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._made = Tokenizer.from_file(self._path)
+            self._made.encode_special_tokens = self._as_text
+        return self._made
+
     def _rapid(self, text: str) -> np.ndarray | None:
         if self._quick is None or _WIDE.search(text) or (self._added and self._added.search(text)):
             return None
