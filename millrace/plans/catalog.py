@@ -75,7 +75,16 @@ def page_title(spark, sf_dir):
     return lk.analysed(_t(spark, sf_dir, "pages")).select("page_id", F.col("page.title").alias("title"))
 
 
-@_add()
+#: SQL: what stands between break tags, of the constructs that the pages have.
+_TEXT = r"""
+WITH bare AS (SELECT page_id, regexp_replace(html, '(?s)<style>.*?</style>|<script>.*?</script>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),
+cut AS (SELECT page_id, regexp_replace(regexp_replace(h, '<(head|title|body|ul|li|p|br|h1|div)( [^>]*)?>|</(head|ul|li|p|h1|div)>', chr(1), 'g'), '<[^>]*>', '', 'g') AS h FROM bare)
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '\x01+', chr(10), 'g'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS text,
+       true AS index, true AS follow FROM cut
+"""
+
+
+@_add(_TEXT)
 def page_text(spark, sf_dir):
     return lk.analysed(_t(spark, sf_dir, "pages")).select("page_id", F.col("page.text").alias("text"), F.col("page.index").alias("index"), F.col("page.follow").alias("follow"))
 
