@@ -11,16 +11,16 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.stem import english as _en, germanic as _ge, others as _ot, romance as _ro
+from millrace.functions.stem import english as _en, germanic as _ge, others as _ot, romance as _ro, turkish as _tr
 
 #: Name, and the codes that stand for it (fixed values).
 LANGUAGES = {
     "danish": "da dan", "dutch": "nl dut nld", "english": "en eng", "finnish": "fi fin", "french": "fr fre fra", "german": "de ger deu", "hungarian": "hu hun", "italian": "it ita",
-    "norwegian": "no nor", "porter": "", "portuguese": "pt por", "romanian": "ro rum ron", "russian": "ru rus", "spanish": "es esl spa", "swedish": "sv swe",
+    "norwegian": "no nor", "porter": "", "portuguese": "pt por", "romanian": "ro rum ron", "russian": "ru rus", "spanish": "es esl spa", "swedish": "sv swe", "turkish": "tr tur",
 }
 _STEMMERS: dict[str, Callable[[str], str]] = {
     "danish": _ge.danish, "dutch": _ge.dutch, "english": _en.english, "finnish": _ot.finnish, "french": _ro.french, "german": _ge.german, "hungarian": _ot.hungarian, "italian": _ro.italian,
-    "norwegian": _ge.norwegian, "porter": _en.porter, "portuguese": _ro.portuguese, "romanian": _ro.romanian, "russian": _ot.russian, "spanish": _ro.spanish, "swedish": _ge.swedish,
+    "norwegian": _ge.norwegian, "porter": _en.porter, "portuguese": _ro.portuguese, "romanian": _ro.romanian, "russian": _ot.russian, "spanish": _ro.spanish, "swedish": _ge.swedish, "turkish": _tr.turkish,
 }
 _NAMES = {a: name for name, codes in LANGUAGES.items() for a in (name, *codes.split())}
 

@@ -167,3 +167,16 @@ def test_nesting(spark):
     there = documents.nested(df)
     assert there.select("a.c.d").first()[0] == 2 and documents.dotted(there).columns == df.columns
     assert documents.storable(df) == ["a.b", "a.c.d"] and documents.only_fields(df, "e", but=True).columns == ["a.b", "a.c.d"]
+
+
+def test_options_and_listing(spark):
+    from millrace.sources.options import Options, listing
+
+    assert Options.of({"parallel": "7"}).parallel == 7 and Options.of({}).tick_seconds == 5
+    with pytest.raises(ValueError):
+        Options.of({"nope": 1})
+    spark.conf.set("millrace.agent", "me")
+    assert Options.of(spark).agent == "me"
+    spark.conf.unset("millrace.agent")
+    spark.range(1).createOrReplaceTempView("listed_here")
+    assert listing(spark).where("`table` = 'listed_here'").first()["column"] == "id"
