@@ -56,6 +56,31 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+# shingles of five words, all pairs that share one, and the least id within reach
+_OP1 = r"""
+WITH RECURSIVE w AS (SELECT CAST(doc_id AS BIGINT) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS s
+  FROM w),
+bag AS (SELECT id, s, count(*) AS c FROM sh GROUP BY ALL),
+tot AS (SELECT id, sum(c) AS n FROM bag GROUP BY id),
+pairs AS (SELECT a.id AS u, b.id AS v, sum(least(a.c, b.c)) AS m FROM bag a JOIN bag b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN tot x ON x.id = u JOIN tot y ON y.id = v WHERE m >= 0.8 * (x.n + y.n - m)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT id, id AS c FROM w UNION SELECT r.id, b.v FROM reach r JOIN both_ways b ON r.c = b.u),
+least_id AS (SELECT id, min(c) AS class_id FROM reach GROUP BY id)
+SELECT id AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, id = class_id AS kept FROM least_id
+"""
+
+# for the constructs that the pages have: one article, its blocks between p and h1 tags
+_OP9 = r"""
+WITH art AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>', chr(1), 'g') AS h FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(replace(h, '<br>', ' '), '<[^>]*>', '', 'g') AS h FROM art),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(h, '&#x27;', chr(39)), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS h FROM bare),
+lines AS (SELECT page_id, url, list_filter(list_transform(string_split(h, chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS x FROM plain)
+SELECT CAST(page_id AS BIGINT) AS page_id, url, array_to_string(x, chr(10)) AS text, length(array_to_string(x, chr(10))) AS n_chars FROM lines
+"""
+
 _OP6 = r"""
 WITH sized AS (
   SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -104,4 +129,4 @@ FROM coded
 
 def oracle_sql() -> dict[str, str]:
     """Equivalents in DuckDB's SQL, where SQL can express the query."""
-    return {"op6_source_mixing": _OP6, "op7_exact_dedup": _OP7, "op10_warc": _OP10}
+    return {"op1_minhash_near_dedup": _OP1, "op6_source_mixing": _OP6, "op7_exact_dedup": _OP7, "op9_html_extraction": _OP9, "op10_warc": _OP10}
