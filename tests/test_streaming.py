@@ -1,5 +1,6 @@
 """Streams run to their end and are held against batch models."""
 
+import os
 from collections import defaultdict
 
 import pandas as pd
@@ -17,6 +18,13 @@ def rocks(spark):
     spark.conf.unset(key)
 
 
+def put(folder, k, rows, columns):
+    """A file a micro-batch; the source takes files by their time, so each has its own."""
+    path = folder / f"{k}.json"
+    pd.DataFrame(rows, columns=columns).to_json(path, orient="records", lines=True)
+    os.utime(path, (1_700_000_000 + 10 * k,) * 2)
+
+
 def run(stream, tmp_path, name):
     out = []
     query = stream.writeStream.foreachBatch(lambda b, i: out.append((i, b.collect()))).outputMode("update").option("checkpointLocation", f"file://{tmp_path}/{name}").trigger(availableNow=True).start()
@@ -33,7 +41,7 @@ def test_frontier_against_a_model(rocks, tmp_path):
     ]
     (tmp_path / "in").mkdir()
     for k, rows in enumerate(batches):
-        pd.DataFrame(rows, columns=["host", "seq", "url", "robots"]).to_json(tmp_path / "in" / f"{k}.json", orient="records", lines=True)
+        put(tmp_path / "in", k, rows, ["host", "seq", "url", "robots"])
     arrivals = rocks.readStream.schema(frontier.ARRIVAL).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
     got = [sorted((r["host"], r["seq"], r["stage"], r["waiting"]) for r in rows) for _, rows in run(frontier.waves(arrivals, "bot"), tmp_path, "check")]
     queues, want = defaultdict(list), []
@@ -64,7 +72,7 @@ def test_upsert_sink_keeps_each_columns_last_write(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [[("u", 1, 10, "a", None)], [("u", 3, 1, None, 5)], [("u", 2, 99, "old", 7), ("v", 1, 1, None, 1)]]
     for k, batch in enumerate(rows):
-        pd.DataFrame(batch, columns=["url", "crawled", "seq", "title", "code"]).to_json(tmp_path / "in" / f"{k}.json", orient="records", lines=True)
+        put(tmp_path / "in", k, batch, ["url", "crawled", "seq", "title", "code"])
     stream = spark.readStream.schema("url string, crawled long, seq long, title string, code long").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
     paths = []
 
