@@ -83,8 +83,8 @@ def is_valid_utf8(b: Column) -> Column:
 def int_read(b: Column, width: int = 8) -> Column:
     """The signed big-endian integer of the first ``width`` bytes (1 to 8)."""
     unsigned = F.conv(F.hex(F.substring(b, 1, width)), 16, 10).cast("decimal(20,0)")
-    top = F.lit(2 ** (8 * width - 1)).cast("decimal(20,0)")
-    return F.when(unsigned >= top, unsigned - F.lit(2 ** (8 * width)).cast("decimal(20,0)")).otherwise(unsigned).cast("long")
+    top = F.lit(str(2 ** (8 * width - 1))).cast("decimal(20,0)")  # as text: beyond a long for 8 bytes
+    return F.when(unsigned >= top, unsigned - F.lit(str(2 ** (8 * width))).cast("decimal(20,0)")).otherwise(unsigned).cast("long")
 
 
 def int_put(n: Column, width: int = 8) -> Column:

@@ -28,3 +28,8 @@ def same(spark, tmp_path):
 def test_of_pages_with_one_url_the_first_is_fetched(spark, same):
     pages = [(1, "http://a/x", "<p>b"), (2, "http://a/x", "<p>c"), (3, "http://a/x", "<p>a"), (4, "http://a/y", None), (6, "http://a/y", "z" * 2001), (7, "http://a/z", None)]
     same("fetch_offline", pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
+
+
+def test_integers_beyond_four_bytes_come_back(spark, same):
+    keys = [0, 1, 2, 3, 271_179, 271_180, 271_181, 300_000, 542_361, 542_362, 9_000_000, 10**12]
+    same("integers_big_endian", orders=spark.createDataFrame([(k,) for k in keys], "o_orderkey long"))
