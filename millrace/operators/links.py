@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable, Sequence
 
-from millrace.functions.html_lex import lex
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from millrace.functions.batches import in_slices
+from millrace.functions.html_lex import RESULT, lexed_arrow
 
-def analysed(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """``pages`` with the struct ``page`` (text, links, title, ...), made once per page."""
-    return pages.withColumn("page", lex(F.col(html), F.col(url))).drop(html)
+
+def analysed(pages: DataFrame, html: str = "html", url: str = "url", fields: Sequence[str] = tuple(RESULT.names)) -> DataFrame:
+    """``pages`` with the struct ``page`` (text, links, title, ...) instead of the html, made once per page.
+
+    Only ``fields`` of it are made into columns.  A worker holds a slice of some MB and its results.
+    """
+    kept = [f for f in pages.schema if f.name != html]
+    schema = T.StructType([*kept, T.StructField("page", T.StructType([RESULT[n] for n in fields]))])
+    return pages.mapInArrow(in_slices(page_maker(html, url, [f.name for f in kept], fields)), schema)
+
+
+def page_maker(html: str, url: str, kept: Sequence[str], fields: Sequence[str]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """From a slice of pages its ``kept`` columns and the struct ``page``."""
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        page = lexed_arrow(part.column(html), part.column(url), fields)
+        return pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), page], names=[*kept, "page"])
+
+    return make
 
 
 def exploded(pages: DataFrame, url: str = "url") -> DataFrame:

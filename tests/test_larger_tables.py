@@ -33,3 +33,34 @@ def test_of_pages_with_one_url_the_first_is_fetched(spark, same):
 def test_integers_beyond_four_bytes_come_back(spark, same):
     keys = [0, 1, 2, 3, 271_179, 271_180, 271_181, 300_000, 542_361, 542_362, 9_000_000, 10**12]
     same("integers_big_endian", orders=spark.createDataFrame([(k,) for k in keys], "o_orderkey long"))
+
+
+def test_memory_of_the_lexer_does_not_grow_with_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from millrace.functions.batches import in_slices
+    from millrace.functions.html_lex import RESULT
+    from millrace.operators.links import page_maker
+
+    def peak(rows):
+        page = "<body>" + "<p>some words<a href='/x'>a link</a>" * 20
+        batch = pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array(["http://a/"] * rows), pa.array([page] * rows)], names=["page_id", "url", "html"])
+        tracemalloc.start()
+        made = sum(part.num_rows for part in in_slices(page_maker("html", "url", ["page_id"], RESULT.names), 1 << 15)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made == rows
+        return most
+
+    assert peak(640) < 1.3 * peak(160)
+
+
+def test_only_the_asked_fields_of_pages(spark):
+    from millrace.operators import links
+
+    pages = spark.createDataFrame([(1, "http://a/", "<title>A &quot;b&quot;</title><a href='/x'>y</a>"), (2, "http://a/", None), (3, "no base", "<p>z"), (4, None, "<p>z")], "page_id int, url string, html string")
+    assert [tuple(r) for r in links.analysed(pages, fields=["title", "warnings"]).orderBy("page_id").select("page_id", "page.*").collect()] == [
+        (1, 'A "b"', ""), (2, None, None), (3, None, "base is not absolute"), (4, "", ""),
+    ]
