@@ -7,13 +7,47 @@ so no term is gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, pos, term), pos counting split places from 0."""
-    parts = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
-    return docs.select(F.col(key).alias("doc_id"), F.posexplode(parts).alias("pos", "term")).where("term <> ''")
+    return docs.select(F.col(key).alias("doc_id"), F.posexplode(_words(text)).alias("pos", "term")).where("term <> ''")
+
+
+def _words(text: str):
+    return F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
+
+
+def distinct_words(text: str = "text") -> Column:
+    """The different terms of a text, as an array."""
+    return F.array_remove(F.array_distinct(_words(text)), "")
+
+
+def apart(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key no other row has, and the rest; None where there is no rest, which a job over the keys tells."""
+    many = docs.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1").select("__key")
+    if many.isEmpty():
+        return docs, None
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return docs.join(many, same, "left_anti"), docs.join(many, same, "left_semi")
+
+
+def term_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(term, df, cf): documents that hold a term, and its places in them.  Rows with the same key are one document.
+
+    A row counts its own distinct words, so only (term, df, cf) shuffles; documents of several
+    rows, where there are any, go by (term, doc).
+    """
+    single, rest = apart(docs, key)
+    words = single.select(_words(text).alias("w"))
+    # all words count for cf, the distinct ones for df
+    both = words.select(F.inline(F.array(F.struct(F.lit(0).alias("d"), F.col("w").alias("w")), F.struct(F.lit(1).alias("d"), F.array_distinct("w").alias("w")))))
+    counts = both.select("d", F.explode("w").alias("term")).where("term <> ''").groupBy("term").agg(F.sum("d").alias("df"), F.sum(F.lit(1) - F.col("d")).alias("cf"))
+    if rest is None:
+        return counts
+    more = document_frequency(term_frequency(tokens(rest, text, key)))
+    return counts.unionByName(more).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def term_frequency(toks: DataFrame) -> DataFrame:

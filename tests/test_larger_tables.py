@@ -64,3 +64,39 @@ def test_only_the_asked_fields_of_pages(spark):
     assert [tuple(r) for r in links.analysed(pages, fields=["title", "warnings"]).orderBy("page_id").select("page_id", "page.*").collect()] == [
         (1, 'A "b"', ""), (2, None, None), (3, None, "base is not absolute"), (4, "", ""),
     ]
+
+
+ODD = [(1, "The the cats, cats!", "en"), (2, "", "en"), (3, None, "en"), (4, " Kategorien kategorie; the", "de"), (5, "cats word_cats", "xx"), (5, "The cat", "en"), (5, None, None), (None, "the end", "en"), (None, "the cat", "en")]
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+@pytest.mark.parametrize("rows", [ODD, ODD[:4], []])
+def test_term_statistics_of_documents_in_several_rows(spark, same, rows):
+    same("term_df", documents=docs(spark, rows))
+
+
+@pytest.mark.parametrize("rows", [ODD, ODD[:4], []])
+def test_stems_of_documents_in_several_rows(spark, tmp_path, rows):
+    from collections import Counter, defaultdict
+
+    from millrace.functions.stem import LANGUAGES, stem_word
+
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    words, langs = defaultdict(set), defaultdict(set)
+    for i, text, lang in rows:
+        if i is not None:
+            words[i] |= {w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()}
+            langs[i].add(lang)
+    known = {c for codes in LANGUAGES.values() for c in codes.split()}
+    want = Counter(x for i in words for lang in langs[i] for x in {(lang, stem_word(w, lang) if lang in known else w) for w in words[i]})
+    got = catalog.queries()["stem_documents"](spark, str(tmp_path)).collect()
+    assert {(r["lang"], r["stem"]): r["df"] for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("name", ["term_df", "stem_documents"])
+def test_words_are_counted_before_they_shuffle(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id" not in plan and "Join" not in plan
