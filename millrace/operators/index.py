@@ -15,6 +15,10 @@ def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return docs.select(F.col(key).alias("doc_id"), F.posexplode(_words(text)).alias("pos", "term")).where("term <> ''")
 
 
+#: Asked terms, counted, up to which they are broadcast.
+_FEW_ASKED = 100_000
+
+
 def _words(text: str):
     return F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
 
@@ -85,8 +89,11 @@ def bm25(toks: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     total = docs.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     hits = docs.select("doc_id", "len", F.explode("found").alias("f")).select("doc_id", "len", "f.term", "f.tf")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    known = df.join(asked, "term")
+    if asked.limit(_FEW_ASKED + 1).count() <= _FEW_ASKED:  # hits stay dealt by document, so scores are summed where they are
+        known = F.broadcast(known)
     # total is one row
-    weighed = hits.join(df, "term").crossJoin(F.broadcast(total))
+    weighed = hits.join(known, "term").crossJoin(F.broadcast(total))
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0))))
-    return weighed.select("term", "doc_id", (idf * norm).alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    return weighed.select("query_id", "doc_id", (idf * norm).alias("w")).groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))

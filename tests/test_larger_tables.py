@@ -1,5 +1,7 @@
 """What differs or grows on tables that are larger than the test data, on small tables made for it."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -100,3 +102,15 @@ def test_stems_of_documents_in_several_rows(spark, tmp_path, rows):
 def test_words_are_counted_before_they_shuffle(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id" not in plan and "Join" not in plan
+
+
+def test_scores_are_summed_where_the_documents_are(spark, monkeypatch):
+    from millrace.operators import index
+
+    toks = index.tokens(docs(spark, ODD[:4]))
+    asked = spark.createDataFrame([(1, "cats"), (1, "the"), (2, "kategorie"), (2, "none")], "query_id int, term string")
+    few = index.bm25(toks, asked)
+    assert not re.search(r"hashpartitioning\(query_id#\w+, doc_id#", few._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(index, "_FEW_ASKED", 2)  # more are asked: the same by joins that shuffle
+    scores = lambda df: {(r[0], r[1]): round(r[2], 9) for r in df.collect()}
+    assert scores(few) == scores(index.bm25(toks, asked)) and len(scores(few)) == 3
